@@ -21,6 +21,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(low).distinct()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node either has one edge, to a root, or is a root."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the least node reachable.
 
@@ -32,12 +38,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     pairs = edges.select(F.col(a).alias("p"), F.col(b).alias("q")).filter("p is not null and q is not null")
     e = cut(pairs.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct(), "edges")
     loops = e.filter("u = v").select("u", F.col("u").alias("v"))
-    e, seen = e.filter("u <> v"), None
-    while True:
-        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    e = e.filter("u <> v")
+    while not _stars(e):
         e = cut(_small_star(_large_star(e)), "edges")
     roots = e.select(F.col("v").alias("u"), "v").distinct()
     return e.union(roots).union(loops).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
