@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_roundtrip
+from .chat import op2_chat
 from .common import documents, shared_dir
 from .langid import op9_langid
 from .minhash import op7_minhash
@@ -35,5 +36,5 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_token_files": op5_token_files, "op7_minhash": op7_minhash, "op9_langid": op9_langid, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op5_token_files": op5_token_files, "op7_minhash": op7_minhash, "op9_langid": op9_langid, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLES = {"op3_mixing": OP3_SQL}
