@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, documents, text_or_empty
+from .common import WORD, documents, free_name, text_or_empty
 
 #: Weights by the rank of a source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -99,6 +99,28 @@ def _cut(rows: DataFrame, sources: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix itself: a row of ``df`` for each time it is taken, columns as before.
+
+    The one text a source's budget ends in is cut after its last word taken, and
+    ``size_col``, if there, becomes its number of characters. Rows that are equal
+    in id and text count as one document that is taken as often as they are
+    together. Documents without words are never taken.
+    """
+    names = {c: free_name(df, c) for c in ("_id", "_tie", "_size", "_taken", "_copy")}
+    plan = mix(df, id_col, source_col, text_col, **options).groupBy("doc_id", "tie").agg(F.max("size").alias(names["_size"]), F.sum("taken").alias(names["_taken"])).filter(F.col(names["_taken"]) > 0)
+    plan = plan.withColumnRenamed("doc_id", names["_id"]).withColumnRenamed("tie", names["_tie"])
+    body = F.col(f"`{text_col}`")
+    once = df.withColumn("_t", F.xxhash64(text_or_empty(f"`{text_col}`"))).dropDuplicates([id_col, "_t"])
+    out = once.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col(names["_id"])) & (F.col("_t") == F.col(names["_tie"])))
+    taken, size = F.col(names["_taken"]), F.col(names["_size"])
+    out = out.withColumn(names["_copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken / size).cast("long"))))
+    words = taken - (F.col(names["_copy"]) - 1) * size
+    cut = F.when(words < size, F.array_join(F.slice(F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), words.cast("int")), "")).otherwise(body)
+    new = {text_col: cut} | ({size_col: F.when(words < size, F.length(cut).cast("long")).otherwise(F.col(f"`{size_col}`"))} if size_col in df.columns else {})
+    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -225,7 +225,7 @@ def _repeats(length: int):
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, as_text: bool):
     """From (tid, text, n, spans) what is left of each text; a text that occurs n > 1 times is repeated as a whole."""
     names = ["tid", "n_bytes", "n_removed", "n_spans", "kept"]
 
@@ -247,20 +247,23 @@ def _remove(length: int):
                 gone = np.cumsum(edge[:-1]) > 0
                 runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 rows.append((len(body), int(gone.sum()), runs, np.frombuffer(body, "u1")[~gone].tobytes()))
+            if as_text:
+                rows = [(*r[:3], r[3].decode("utf-8", "ignore")) for r in rows]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
-def repeated_passages(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_passages(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """One row per distinct text: tid, n_bytes, n_removed, n_spans, kept.
 
     A byte is removed when some ``length``-byte string that covers it starts
     anywhere else too, in the same text or another; all strings are judged on the
     input. Equal texts count as occurrences of each other, so from ``length``
-    bytes on they go as a whole. ``tid`` is ``text_id`` of the text; a null text
+    bytes on they go as a whole. ``kept`` holds bytes or, ``as_text``, their whole
+    characters. ``tid`` is ``text_id`` of the text; a null text
     counts as empty. Texts shorter than ``length`` stay as they are.
 
     An anchor with more than ``GROUP`` occurrences (a line in a third of all
@@ -284,7 +287,7 @@ def repeated_passages(df: DataFrame, text_col: str = "text", length: int = LENGT
     twice = strings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     frequent = strings.join(twice, "gram").select("tid", F.col("pos").alias("first"), (F.col("pos") + length).alias("last"))
     spans = rare.union(frequent).groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return texts.join(spans, "tid", "left").select("tid", "text", "n", "spans").mapInArrow(_remove(length), "tid binary, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.join(spans, "tid", "left").select("tid", "text", "n", "spans").mapInArrow(_remove(length, as_text), f"tid binary, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def without_repeats(df: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -295,9 +298,9 @@ def without_repeats(df: DataFrame, text_col: str = "text", size_col: str | None
     new number of characters.
     """
     tid = free_name(df, "_tid")
-    done = repeated_passages(df, text_col).filter("n_removed > 0").select(F.col("tid").alias(tid), F.col("kept").alias("_kept"), F.lit(True).alias("_cut"))
+    done = repeated_passages(df, text_col, as_text=True).filter("n_removed > 0").select(F.col("tid").alias(tid), F.col("kept").alias("_kept"), F.lit(True).alias("_cut"))
     out = df.withColumn(tid, text_id(f"`{text_col}`")).join(done, tid, "left").filter(F.col("_cut").isNull() | (F.length("_kept") > 0))
-    text = F.when(F.col("_cut"), F.regexp_replace(F.decode(F.col("_kept"), F.lit("UTF-8")), "�", "")).otherwise(F.col(f"`{text_col}`"))
+    text = F.when(F.col("_cut"), F.col("_kept")).otherwise(F.col(f"`{text_col}`"))
     cols = []
     for c in df.columns:
         if c == text_col:
