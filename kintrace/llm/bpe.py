@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from .common import free_name, ship, text_or_empty
 
 #: Words and pair tests kept per Python worker; beyond it the memory starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 MEMO_PAIRS = 1_000_000
 #: Marks the last symbol of a word in the automaton's alphabet.
 LAST = 256
-#: Of these no character composes with another, and each lower-cases to one of them.
-PLAIN = re.compile("[\u0000-\u022f]*\\Z")
+#: Of these no character composes with another, each lower-cases to one of them, and blanks are what ``str.split`` takes for blanks.
+PLAIN = re.compile("[\u0000-\u001b\u0020-\u022f]*\\Z")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -40,8 +40,8 @@ def byte_symbols() -> dict[str, int]:
 
 
 def plain_word_pattern() -> re.Pattern:
-    """The tokenizer's word pattern over the characters below U+0230, for ``re``."""
-    chars = [chr(i) for i in range(0x230)]
+    """The tokenizer's word pattern over the characters below U+0300 (upper-case ones below U+0230 have lower-case ones up to there), for ``re``."""
+    chars = [chr(i) for i in range(0x300)]
     kind = {c: unicodedata.category(c)[0] for c in chars}
     blank = "".join(re.escape(c) for c in chars if c.isspace() and not 0x1C <= ord(c) <= 0x1F)
     letters = "".join(c for c in chars if kind[c] == "L")
@@ -95,6 +95,19 @@ class PairTests:
         return known
 
 
+class Pieces(dict):
+    """What stands between two blanks -> packed ids of its words, remembered."""
+
+    def __init__(self, words: Encoder):
+        self.of = words
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        made = self[piece] = b"".join(map(self.of.__getitem__, self.of.pattern.findall(piece.lower())))
+        return made
+
+
 class Encoder:
     """Exact ids of whole texts for a byte-level BPE file with word ends."""
 
@@ -130,45 +143,29 @@ class Encoder:
         self.fits = PairTests(parts, rank)
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
-            word = spelt(token)
-            self.automaton.add_word(word, (i, len(word)))
+            if self.fits.merge(self.fits.symbols(i)) == [i]:  # else no text gives this token
+                word = spelt(token)
+                self.automaton.add_word(word, (i, len(word)))
         self.automaton.make_automaton()
-        self.own: dict[int, bool] = {}
         self.pattern = plain_word_pattern()
         self.memo: dict[str, bytes] = {}
-
-    def whole(self, token: int) -> bool:
-        """Whether the token's own spelling merges back to the token."""
-        known = self.own.get(token)
-        if known is None:
-            known = self.own[token] = self.fits.merge(self.fits.symbols(token)) == [token]
-        return known
+        self.pieces = Pieces(self)
 
     def word(self, word: str) -> list[int]:
-        """Ids of one word, by the table of last tokens of its prefixes."""
+        """Ids of one word, by the table of last tokens of its prefixes; matches come by end, the longest first."""
         codes = list(word.encode("utf-8"))
         codes[-1] += LAST
-        size = len(codes)
-        ending: list[list[tuple[int, int]]] = [[] for _ in codes]
-        for at, found in self.automaton.iter("".join(map(chr, codes))):
-            ending[at].append(found)
-        last: list[tuple[int, int] | None] = [None] * size
-        for at in range(size):
-            for token, length in ending[at]:
+        size, fits = len(codes), self.fits
+        token_at, start_at = [-1] * size, [0] * size
+        for at, (token, length) in self.automaton.iter("".join(map(chr, codes))):
+            if token_at[at] < 0:
                 before = at - length
-                if before < -1 or not self.whole(token):
-                    continue
-                if before == -1:
-                    last[at] = (token, before)
-                    break
-                prior = last[before]
-                if prior is not None and self.fits(prior[0], token):
-                    last[at] = (token, before)
-                    break
+                if before < 0 or (token_at[before] >= 0 and fits(token_at[before], token)):
+                    token_at[at], start_at[at] = token, before
         ids, at = [], size - 1
         while at >= 0:
-            token, at = last[at]
-            ids.append(token)
+            ids.append(token_at[at])
+            at = start_at[at]
         return ids[::-1]
 
     def __getitem__(self, word: str) -> bytes:
@@ -189,16 +186,15 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known = self.__getitem__
         if self.cut is None or not self.cut.search(text):
-            return b"".join(map(known, self.words(text)))
-        out = []
-        for piece in self.cut.split(text):
-            if piece in self.special:
-                out.append(np.array([self.special[piece]], "<u4").tobytes())
-            elif piece:
-                out.extend(map(known, self.words(piece)))
-        return b"".join(out)
+            return self._plain(text)
+        return b"".join(np.array([self.special[piece]], "<u4").tobytes() if piece in self.special else self._plain(piece) for piece in self.cut.split(text) if piece)
+
+    def _plain(self, text: str) -> bytes:
+        """No word crosses a blank, so what stands between blanks is remembered as one."""
+        if PLAIN.match(text):
+            return b"".join(map(self.pieces.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, self.words(text)))
 
     def decode(self, packed: bytes) -> str:
         """The file has no decoder: token strings joined by a space."""

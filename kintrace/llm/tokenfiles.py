@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_WORDS, Encoder, encoder
+from .bpe import MEMO_WORDS, PLAIN, Encoder, encoder
 from .common import ship, text_or_empty
 
 MAGIC = b"KTOKENS1"
@@ -31,32 +32,29 @@ MAGIC = b"KTOKENS1"
 FLUSH_DOCS = 2_000
 
 
-class LibraryWords:
-    """Ids of whole texts: words from the tokenizer file's rules, ids of each distinct word from the tokenizers library."""
+class LibraryWords(dict):
+    """What stands between two blanks -> packed ids from the tokenizers library's model, asked once for each."""
 
     def __init__(self, shared: Encoder, dtype: str):
-        self.shared, self.dtype, self.memo = shared, dtype, {}
-
-    def learn(self, texts: list[list[str]]) -> None:
-        new = list({w for words in texts for w in words if w not in self.memo})
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list({w for words in texts for w in words})
-        for w, e in zip(new, self.shared.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        self.shared, self.library, self.kind = shared, shared.library, {"<u2": "H", "<u4": "I"}[dtype]
+        self.model = shared.library.model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        stand_in, ids = self.shared.stand_in, array(self.kind)
+        for word in self.shared.pattern.findall(piece.lower()):
+            symbols = word if word.isascii() and word.isprintable() else "".join(map(stand_in.__getitem__, word.encode("utf-8")))
+            ids.extend([t.id for t in self.model.tokenize(symbols)])
+        made = self[piece] = ids.tobytes()
+        return made
+
+    def encode(self, text: str) -> bytes:
+        """A text in which blanks may not part words as in the tokenizer's rules goes to the library whole."""
         cut = self.shared.cut
-        split = [None if cut and cut.search(t) else self.shared.words(t) for t in texts]
-        self.learn([w for w in split if w is not None])
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                packed = np.array(self.shared.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-            else:
-                packed = b"".join(map(self.memo.__getitem__, words))
-            out.append(packed + end)
-        return out
+        if PLAIN.match(text) and not (cut and cut.search(text)):
+            return b"".join(map(self.__getitem__, text.split()))
+        return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -97,7 +95,7 @@ def write_tokens(df: DataFrame, folder: str, path: str, id_col: str = "doc_id",
             for batch in batches:
                 for k in range(0, batch.num_rows, FLUSH_DOCS):
                     piece = batch.slice(k, FLUSH_DOCS)
-                    packed = words.encode(piece.column(2).to_pylist(), end)
+                    packed = [words.encode(t) + end for t in piece.column(2).to_pylist()]
                     out.write(b"".join(packed))
                     ids.append(piece.column(0).to_numpy())
                     lengths.append(np.fromiter(map(len, packed), "<i8", len(packed)))
