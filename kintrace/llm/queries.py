@@ -15,6 +15,7 @@ from .hnsw import op4_embedding_dedup
 from .langid import op9_langid
 from .minhash import op7_minhash
 from .mixing import OP3_SQL, op3_mixing
+from .passages import op8_passages
 from .quality import op6_quality
 from .suffix import op10_suffix_dedup
 from .tokenfiles import read_tokens, write_tokens
@@ -38,5 +39,5 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_embedding_dedup": op4_embedding_dedup, "op5_token_files": op5_token_files, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op9_langid": op9_langid, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_embedding_dedup": op4_embedding_dedup, "op5_token_files": op5_token_files, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op8_passages": op8_passages, "op9_langid": op9_langid, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLES = {"op3_mixing": OP3_SQL}
