@@ -93,7 +93,7 @@ def report(df: DataFrame) -> DataFrame:
 def preferred_records(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the last child-level record, or else the first seen."""
     child = F.col("recipient_level") == "C"
-    rank = F.when(child, F.struct(F.lit(1), F.col(order))).otherwise(F.struct(F.lit(0), -F.col(order)))
+    rank = F.struct(child.cast("int").alias("child"), F.when(child, F.col(order)).otherwise(-F.col(order)).alias("at"))
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), rank).alias("r")).select("r.*")
 
 
