@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import free_name, ship, text_or_empty
 
 #: Words and pair tests kept per Python worker; beyond it the memory starts anew.
-MEMO_WORDS = 400_000
-MEMO_PAIRS = 1_000_000
+MEMO_WORDS = 150_000
+MEMO_PAIRS = 200_000
 #: Marks the last symbol of a word in the automaton's alphabet.
 LAST = 256
 #: Of these no character composes with another, each lower-cases to one of them, and blanks are what ``str.split`` takes for blanks.

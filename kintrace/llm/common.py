@@ -15,11 +15,16 @@ from kintrace.sources.shared import cut, shared_dir  # noqa: F401
 #: A word: a run of anything but the space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows and bytes of an Arrow batch at most: what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as a zip file."""
+    """Send this package to the executors once per application, as a zip file, and keep Arrow batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -26,7 +26,7 @@ MAX_GRAMS = 80_000
 #: Nats that a switch of language costs.
 SWITCH = 14.0
 #: Distinct words whose scores a Python worker keeps.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: A script's words must be so much of a language's, or the language is no candidate for it.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words kept per Python worker; beyond it the memory starts anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 200_000
 M64 = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -24,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_WORDS, PLAIN, Encoder, encoder
+from .bpe import PLAIN, Encoder, encoder
 from .common import ship, text_or_empty
 
 MAGIC = b"KTOKENS1"
+#: Strings between blanks kept per Python worker; beyond it the memory starts anew.
+MEMO_WORDS = 400_000
 #: Ids written at once.
 FLUSH_DOCS = 2_000
 
