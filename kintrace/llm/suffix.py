@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,12 +95,20 @@ def anchors(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[int, n
             yield i, mine - (ends[k] - sizes[k]), g[mine]
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, less than half as many for shuffles and tables."""
+    shrink = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shrink(t.as_py().encode()) for t in batch.column(1)], pa.binary())], ["tid", "packed"])
+
+
 def _find_anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids = batch.column(0)
             who, where, what = [], [], []
-            for i, positions, hashes in anchors([t.encode() for t in batch.column(1).to_pylist()], length, gram):
+            for i, positions, hashes in anchors([unpack(t.as_py()) for t in batch.column(1)], length, gram):
                 who.append(np.full(len(positions), i))
                 where.append(positions)
                 what.append(hashes)
@@ -114,11 +123,12 @@ def _segments(length: int, gram: int):
     names = ["gram", "tid", "pos", "left_size", "segment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             held = 0
-            for tid, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                body = text.as_py().encode()
+            for tid, packed, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                body = unpack(packed.as_py())
                 rows = found.values
                 pos, grams, hot = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 wide = np.zeros(max(0, len(body) - length + 1), bool)
@@ -134,7 +144,7 @@ def _segments(length: int, gram: int):
                 if len(starts):
                     keys = string_hashes(np.frombuffer(body, "u1"), length)[starts].view("i8")
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([tid] * len(starts), pa.binary()), pa.array(starts), pa.nulls(len(starts), pa.int32()), pa.nulls(len(starts), pa.binary())], names)
-                if held >= 20_000:
+                if held >= 4_000:
                     yield _batch(out, names)
                     out, held = [[], [], [], [], []], 0
             if held:
@@ -226,14 +236,15 @@ def _repeats(length: int):
 
 
 def _remove(length: int, as_text: bool):
-    """From (tid, text, n, spans) what is left of each text; a text that occurs n > 1 times is repeated as a whole."""
+    """From (tid, packed, n, spans) what is left of each text; a text that occurs n > 1 times is repeated as a whole."""
     names = ["tid", "n_bytes", "n_removed", "n_spans", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for text, n, spans in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                body = text.as_py().encode()
+            for packed, n, spans in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                body = unpack(packed.as_py())
                 if n > 1 and len(body) >= length:
                     rows.append((len(body), len(body), 1, b""))
                     continue
@@ -275,19 +286,19 @@ def repeated_passages(df: DataFrame, text_col: str = "text", length: int = LENGT
     # each distinct text once, laid out by its id so that later joins leave it where it is
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"kintrace_texts_{uuid.uuid4().hex}"
-    body = df.select(text_id(text_col).alias("tid"), text_or_empty(text_col).alias("text")).groupBy("tid").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    body = df.select(text_id(text_col).alias("tid"), text_or_empty(text_col).alias("text")).mapInArrow(_pack, "tid binary, packed binary").groupBy("tid").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("n"))
     body.write.format("parquet").bucketBy(n, "tid").sortBy("tid").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     texts = spark.table(name)
-    found = cut(texts.select("tid", "text").filter(F.octet_length("text") >= length).mapInArrow(_find_anchors(length, gram), "tid binary, pos long, gram long"), "anchors")
+    found = cut(texts.select("tid", "packed").mapInArrow(_find_anchors(length, gram), "tid binary, pos long, gram long"), "anchors")
     again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") > GROUP).alias("hot"))
     wanted = found.join(again, "gram").groupBy("tid").agg(F.collect_list(F.struct("pos", "gram", "hot")).alias("found"))
-    segments = cut(texts.join(wanted, "tid").select("tid", "text", "found").mapInArrow(_segments(length, gram), "gram long, tid binary, pos long, left_size int, segment binary"), "segments")
+    segments = cut(texts.join(wanted, "tid").select("tid", "packed", "found").mapInArrow(_segments(length, gram), "gram long, tid binary, pos long, left_size int, segment binary"), "segments")
     rare = segments.filter("segment is not null").repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_repeats(length), "tid binary, first long, last long")
     strings = segments.filter("segment is null").select("gram", "tid", "pos")
     twice = strings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     frequent = strings.join(twice, "gram").select("tid", F.col("pos").alias("first"), (F.col("pos") + length).alias("last"))
     spans = rare.union(frequent).groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return texts.join(spans, "tid", "left").select("tid", "text", "n", "spans").mapInArrow(_remove(length, as_text), f"tid binary, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return texts.join(spans, "tid", "left").select("tid", "packed", "n", "spans").mapInArrow(_remove(length, as_text), f"tid binary, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def without_repeats(df: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
