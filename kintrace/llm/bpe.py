@@ -246,9 +246,15 @@ def bpe_roundtrip(df: DataFrame, path: str, text_col: str = "text", ids_col: str
     return src.mapInArrow(run, schema)
 
 
-def token_array(ids_col: str):
-    """Packed ids as an array column of longs, JVM-side."""
-    h = F.hex(F.col(ids_col))
-    one = lambda i: F.conv(F.concat(*[F.substring(h, i * 8 + k, F.lit(2)) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
-    n = (F.length(F.col(ids_col)) / 4).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<bigint>"))
+def with_id_array(df: DataFrame, ids_col: str = "token_ids", array_col: str = "ids") -> DataFrame:
+    """Add packed ids as an array of longs."""
+    ship(df.sparkSession)
+    array_col = free_name(df, array_col)
+    at = df.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x.as_py(), "<u4").astype("i8") for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int64()))], [*batch.schema.names, array_col])
+
+    return df.mapInArrow(run, df.withColumn(array_col, F.array().cast("array<bigint>")).schema)
