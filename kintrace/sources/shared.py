@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,5 +33,37 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    for scope in _scopes:
+        scope.append(path)
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``cut`` wrote and nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was cut within it, except the frames passed through the function it gives."""
+    mine: list[str] = []
+    _scopes.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = cut(df, "kept")
+        mine.remove(out._cut_path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            discard(spark, path)
