@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kintrace.llm.bpe import bpe_roundtrip
-from kintrace.llm.common import cut, documents
+from kintrace.llm.common import cut, documents, scratch
 from kintrace.llm.langid import keep_known, learn
 from kintrace.llm.minhash import near_duplicates
 from kintrace.llm.mixing import mixed_rows
@@ -22,7 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
+    with scratch(spark) as keep:
+        gone = keep(near_duplicates(docs).filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

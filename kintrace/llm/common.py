@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import kintrace
-from kintrace.sources.shared import cut, shared_dir  # noqa: F401
+from kintrace.sources.shared import cut, discard, scratch, shared_dir  # noqa: F401
 
 #: A word: a run of anything but the space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"

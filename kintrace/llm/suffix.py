@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, free_name, ship, shared_dir, text_id, text_or_empty
+from .common import cut, discard, documents, free_name, ship, shared_dir, text_id, text_or_empty
 from .shingles import mix64
 
 #: Bytes of a repeat, and of the string that anchors it.
@@ -293,6 +293,7 @@ def repeated_passages(df: DataFrame, text_col: str = "text", length: int = LENGT
     again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") > GROUP).alias("hot"))
     wanted = found.join(again, "gram").groupBy("tid").agg(F.collect_list(F.struct("pos", "gram", "hot")).alias("found"))
     segments = cut(texts.join(wanted, "tid").select("tid", "packed", "found").mapInArrow(_segments(length, gram), "gram long, tid binary, pos long, left_size int, segment binary"), "segments")
+    discard(spark, found._cut_path)
     rare = segments.filter("segment is not null").repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_repeats(length), "tid binary, first long, last long")
     strings = segments.filter("segment is null").select("gram", "tid", "pos")
     twice = strings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
@@ -308,16 +309,16 @@ def without_repeats(df: DataFrame, text_col: str = "text", size_col: str | None
     null or empty stay as they are. ``size_col``, if the table has it, becomes the
     new number of characters.
     """
-    tid = free_name(df, "_tid")
-    done = repeated_passages(df, text_col, as_text=True).filter("n_removed > 0").select(F.col("tid").alias(tid), F.col("kept").alias("_kept"), F.lit(True).alias("_cut"))
-    out = df.withColumn(tid, text_id(f"`{text_col}`")).join(done, tid, "left").filter(F.col("_cut").isNull() | (F.length("_kept") > 0))
-    text = F.when(F.col("_cut"), F.col("_kept")).otherwise(F.col(f"`{text_col}`"))
+    tid, kept, gone = (free_name(df, c) for c in ("_tid", "_kept", "_cut"))
+    done = repeated_passages(df, text_col, as_text=True).filter("n_removed > 0").select(F.col("tid").alias(tid), F.col("kept").alias(kept), F.lit(True).alias(gone))
+    out = df.withColumn(tid, text_id(f"`{text_col}`")).join(done, tid, "left").filter(F.col(gone).isNull() | (F.length(kept) > 0))
+    text = F.when(F.col(gone), F.col(kept)).otherwise(F.col(f"`{text_col}`"))
     cols = []
     for c in df.columns:
         if c == text_col:
             cols.append(text.alias(c))
         elif c == size_col:
-            cols.append(F.when(F.col("_cut"), F.length(text).cast("long")).otherwise(F.col(f"`{c}`")).alias(c))
+            cols.append(F.when(F.col(gone), F.length(text).cast("long")).otherwise(F.col(f"`{c}`")).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
     return out.select(*cols)
