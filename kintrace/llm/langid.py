@@ -127,31 +127,42 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.number = model, {}
+        #: scripts that only some languages use, and whether the plain Latin one is known at all
+        self.partial = {s: near for s, near in model.scripts.items() if near and len(near) < len(model.langs)}
+        self.common = bool(model.scripts.get("latin"))
         self.scores = np.empty((1024, len(model.langs)), "f4")
 
-    def score(self, word: str) -> np.ndarray:
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row per word, 0 for its best language."""
         m = self.model
-        rest = len(m.table) - 1
-        out = m.table[[m.index.get(g, rest) for g in grams(word)]].sum(0)
-        near = m.scripts.get(script_of(word))
-        if not near:
-            return np.zeros_like(out)
-        if len(near) < len(m.langs):
-            far = np.full_like(out, out.min() - 50.0)
-            far[near] = out[near]
-            out = far
-        return out - out.max()
+        rest, known = len(m.table) - 1, m.index.get
+        found = [[known(g, rest) for g in grams(w)] for w in words]
+        starts = np.cumsum([0] + [len(f) for f in found[:-1]])
+        out = np.add.reduceat(m.table[[i for f in found for i in f]], starts, axis=0)
+        for script, near in self.partial.items():
+            mine = [i for i, w in enumerate(words) if script_of(w) == script]
+            far = np.setdiff1d(np.arange(len(m.langs)), near)
+            out[np.ix_(mine, far)] = out[mine].min(1, keepdims=True) - 50.0
+        if not self.common:
+            out[[i for i, w in enumerate(words) if script_of(w) not in m.scripts or not m.scripts[script_of(w)]]] = 0.0
+        else:
+            out[[i for i, w in enumerate(words) if ord(w[0]) > 0x24F and not m.scripts.get(script_of(w))]] = 0.0
+        return out - out.max(1, keepdims=True)
 
     def scores_of(self, texts: list[list[str]]) -> np.ndarray:
         """A row per word of all texts."""
         known = self.number
         if len(known) > MEMO_WORDS:
             known.clear()
-        for word in {w for words in texts for w in words if w not in known}:
-            i = known[word] = len(known)
-            if i >= len(self.scores):
+        new = list(set().union(*texts) - known.keys())
+        if new:
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+            while len(known) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-            self.scores[i] = self.score(word)
+            for k in range(0, len(new), 5_000):
+                part = new[k : k + 5_000]
+                self.scores[first + k : first + k + len(part)] = self.score(part)
         return self.scores[np.fromiter((known[w] for words in texts for w in words), "i4")]
 
 
