@@ -15,6 +15,10 @@ from kintrace.llm.queries import TOKENIZER
 from kintrace.llm.suffix import without_repeats
 
 
+#: Near-duplicates share 80 of 100 shingles here; a pair at that share has no band in common with probability 7e-6.
+NEAR_PERCENT, NEAR_BANDS = 80, 30
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; those without letters go."""
     return keep_known(docs, learn(docs))
@@ -23,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id."""
     with scratch(spark) as keep:
-        gone = keep(near_duplicates(docs).filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct())
+        gone = keep(near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS).filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -386,6 +386,25 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4].count()
 
 
+def test_pipeline_near_dedup_at_80(spark, tmp_path):
+    rng = random.Random(31)
+    texts = []
+    for n in (60, 90, 120):
+        for _ in range(8):
+            base = words(rng, n, 3000).split()
+            texts.append(" ".join(base))
+            for changed in range(1, 5):  # far enough apart to spoil five shingles each
+                t = list(base)
+                for k in range(changed):
+                    t[7 + k * (n // 5)] = f"new{k}"
+                texts.append(" ".join(t))
+    sets = {i: _shingles(t) for i, t in enumerate(texts)}
+    want = {i for i, c in _brute_components(sets, 80).items() if i == c}
+    assert want < {i for i, c in _brute_components(sets, 85).items() if i == c}
+    got = corpus_pipeline.near_dedup(spark, documents(spark, texts), str(tmp_path))
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_queries_registered(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert shared_dir(spark)
