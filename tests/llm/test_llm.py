@@ -317,6 +317,46 @@ def test_passages(spark):
     assert passages.near_passages(documents(spark, texts).limit(0)).count() == 0
 
 
+def _brute_passage(a, b, width, least):
+    """Whether any two ranges of ``width`` or more reach the Jaccard value."""
+    for x in range(len(a) - width + 1):
+        for y in range(x + width, len(a) + 1):
+            one = set(a[x:y])
+            for u in range(len(b) - width + 1):
+                two = set(b[u : u + width])
+                for v in range(u + width, len(b) + 1):
+                    two.add(b[v - 1])
+                    both = len(one & two)
+                    if both >= least * (len(one) + len(two) - both) - 1e-12:
+                        return True
+    return False
+
+
+def test_passages_inserted_and_deleted():
+    rng = np.random.default_rng(17)
+    word_shingles = lambda w: passages.shingles(w.astype("u8"), 5)
+    for n, more in ((64, 4), (64, 6), (80, 8)):
+        base, new = rng.integers(1, 2**60, n), rng.integers(1, 2**60, more)
+        a, b = word_shingles(base), word_shingles(np.r_[base[: n // 2], new, base[n // 2 :]])
+        for p, q in ((a, b), (b, a)):
+            got = list(passages.common_passages(p, q, 46, 0.8))
+            assert got and all(min(y - x, v - u) >= 46 and value >= 0.8 for x, y, u, v, value in got)
+    width, seen = 12, Counter()
+    for _ in range(150):
+        base = rng.integers(1, 2**60, 24)
+        other = list(base)
+        for _ in range(rng.integers(2, 7)):
+            at = int(rng.integers(len(other)))
+            other[at : at + int(rng.integers(3))] = rng.integers(1, 2**60, int(rng.integers(3))).tolist()
+        a = np.r_[rng.integers(1, 2**60, 4), base].astype("u8")
+        b = np.r_[np.array(other, "u8"), rng.integers(1, 2**60, 3).astype("u8")]
+        want = _brute_passage(a.tolist(), b.tolist(), width, 0.8)
+        got = list(passages.common_passages(a, b, width, 0.8))
+        assert bool(got) == want and all(value >= 0.8 for *_, value in got)
+        seen[want] += 1
+    assert min(seen[True], seen[False]) > 5
+
+
 def test_cartesian():
     rng = random.Random(3)
     v = np.array([0] + [rng.randrange(1, 12) for _ in range(60)] + [0] + [rng.randrange(1, 5) for _ in range(9)] + [0], "u8")
