@@ -357,6 +357,32 @@ def test_passages_inserted_and_deleted():
     assert min(seen[True], seen[False]) > 5
 
 
+def test_agreeing_ranges():
+    rng = random.Random(19)
+    # many seeds of one hash at other shifts stand between two that agree
+    lone = [(0, 5000 + 300 * k, 4960 + 300 * k, 5040 + 300 * k, 110 + k % 7, 80, 180) for k in range(20)]
+    pair = [(1, 120, 90, 190, 109, 80, 180), (2, 140, 90, 190, 129, 80, 180)]
+    assert list(passages.agreeing_ranges(lone + pair, 46, 2)) == [(90, 190, 80, 180)]
+    # the ninth window of a run meets the first
+    run = [(0, 100 + k, 60, 160, 100 + k, 60, 160) for k in range(12)] + [(1, 113, 100, 200, 113, 100, 200)]
+    assert list(passages.agreeing_ranges(run, 46, 2)) == [(100, 160, 100, 160)]
+    for few in (0, 100):
+        passages.FEW_SEEDS, saved = few, passages.FEW_SEEDS
+        try:
+            for _ in range(30):
+                seeds = []
+                for _ in range(30):
+                    a, b, n, m = rng.randrange(2000), rng.randrange(300), rng.randrange(46, 120), rng.randrange(46, 120)
+                    seeds.append((rng.randrange(4), a + 9, a, a + n, b + 9, b, b + m))
+                met = [(max(x[2], y[2]), min(x[3], y[3]), max(x[5], y[5]), min(x[6], y[6])) for x in seeds for y in seeds if x[0] != y[0]]
+                met = [r for r in met if r[1] - r[0] >= 45 and r[3] - r[2] >= 45]
+                got = list(passages.agreeing_ranges(seeds, 46, 2))
+                assert bool(got) == bool(met)
+                assert all(any(g[0] <= r[0] and r[1] <= g[1] and g[2] <= r[2] and r[3] <= g[3] for g in got) for r in met)
+        finally:
+            passages.FEW_SEEDS = saved
+
+
 def test_cartesian():
     rng = random.Random(3)
     v = np.array([0] + [rng.randrange(1, 12) for _ in range(60)] + [0] + [rng.randrange(1, 5) for _ in range(9)] + [0], "u8")
