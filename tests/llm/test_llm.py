@@ -357,6 +357,19 @@ def test_passages_inserted_and_deleted():
     assert min(seen[True], seen[False]) > 5
 
 
+@pytest.mark.parametrize("block", [512, 5])
+def test_passages_of_a_template(spark, block, monkeypatch):
+    """Pairs of letters that share most of their words with all others, too far from any pivot."""
+    monkeypatch.setattr(passages, "BLOCK", block, raising=False)
+    monkeypatch.setattr(passages, "OPEN_BLOCK", max(2, block // 4), raising=False)
+    rng = random.Random(23)
+    form = words(rng, 38, 5000)
+    letters = [f"{form} {words(rng, 12, 5000)}" for _ in range(24)]
+    texts = [f"{words(rng, 50, 5000)} {letters[i // 2]} {words(rng, 50, 5000)}" for i in range(48)]
+    pairs = {(r.p, r.q) for r in passages.near_passages(documents(spark, texts)).collect()}
+    assert pairs == {(i, i + 1) for i in range(0, 48, 2)}
+
+
 def test_agreeing_ranges():
     rng = random.Random(19)
     # many seeds of one hash at other shifts stand between two that agree
