@@ -357,6 +357,26 @@ def test_passages_inserted_and_deleted():
     assert min(seen[True], seen[False]) > 5
 
 
+def _pairs_without_a_range(hashes):
+    """Of 3,000 pairs of 50 words with one word changed, 41 of 51 shingles shared, those that windows do not bring together."""
+    rng, lost = np.random.default_rng(29), 0
+    for _ in range(3_000):
+        x, y = (rng.integers(1, 2**60, 130).astype("u8") for _ in range(2))
+        x[40:90] = y[40:90]
+        x[65] += np.uint64(1)
+        sides = [defaultdict(list), defaultdict(list)]
+        for d, k, rows in passages.compact_windows([passages.shingles(x), passages.shingles(y)], hashes, 46):
+            for side, r in zip(d.tolist(), rows.tolist(), strict=True):
+                sides[side][r[0], k].append((r[2], r[1], r[3]))
+        seeds = [(key[1], *one, *two) for key in sides[0].keys() & sides[1].keys() for one in sides[0][key] for two in sides[1][key]]
+        lost += not any(a0 <= 40 and a1 >= 85 and b0 <= 40 and b1 >= 85 for a0, a1, b0, b1 in passages.agreeing_ranges(seeds, 46, passages.AGREE))
+    return lost
+
+
+def test_hashes_that_agree():
+    assert _pairs_without_a_range(range(passages.HASHES)) <= 3
+
+
 @pytest.mark.parametrize("block", [512, 5])
 def test_passages_of_a_template(spark, block, monkeypatch):
     """Pairs of letters that share most of their words with all others, too far from any pivot."""
