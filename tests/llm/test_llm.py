@@ -399,8 +399,8 @@ def test_agreeing_ranges():
     # the ninth window of a run meets the first
     run = [(0, 100 + k, 60, 160, 100 + k, 60, 160) for k in range(12)] + [(1, 113, 100, 200, 113, 100, 200)]
     assert list(passages.agreeing_ranges(run, 46, 2)) == [(100, 160, 100, 160)]
-    for few in (0, 100):
-        passages.FEW_SEEDS, saved = few, passages.FEW_SEEDS
+    for few in (7, 256):
+        passages.SEEDS, saved = few, passages.SEEDS
         try:
             for _ in range(30):
                 seeds = []
@@ -413,7 +413,7 @@ def test_agreeing_ranges():
                 assert bool(got) == bool(met)
                 assert all(any(g[0] <= r[0] and r[1] <= g[1] and g[2] <= r[2] and r[3] <= g[3] for g in got) for r in met)
         finally:
-            passages.FEW_SEEDS = saved
+            passages.SEEDS = saved
 
 
 def test_cartesian():
