@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from kintrace.operators.graph import connected_components
 
-from .common import cut, documents, ship
-from .shingles import mix64, shingles, word_hashes, words_of
+from .common import cut, documents, free_name, ship, text_id
+from .shingles import bodies, groups, mix64, text_shingles
 
 #: A pair at the threshold 0.85 shares no band with probability 8e-6.
 BANDS, ROWS = 20, 5
@@ -63,33 +63,39 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view("i8")
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    return np.unique(shingles(word_hashes(words_of(text)), size))
+def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text."""
+    for first, end in groups(texts):
+        yield from map(np.unique, text_shingles(texts[first:end], size))
 
 
 def _describe(size: int, bands: int, rows: int):
-    names = ["id", "n_shingles", "set_key", "bands"]
+    names = ["id", "tid", "n_shingles", "set_key", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-            keys: list = [None] * len(sets)
-            chunk, held = [], 0
-
-            def flush(chunk: list[int], sets=sets, keys=keys) -> None:
-                for at, k in zip(chunk, band_keys(signatures([sets[i] for i in chunk], bands * rows), bands, rows), strict=True):
+            counts: list[int] = []
+            digests: list = []
+            keys: list = [None] * batch.num_rows
+            chunk: list[tuple[int, np.ndarray]] = []
+            held = 0
+
+            def flush(keys=keys, chunk=chunk) -> None:
+                for (at, _), k in zip(chunk, band_keys(signatures([s for _, s in chunk], bands * rows), bands, rows), strict=True):
                     keys[at] = k
+                chunk.clear()
 
-            for i, s in enumerate(sets):
+            for i, s in enumerate(shingle_sets(bodies(batch.column(2)), size)):
+                counts.append(len(s))
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 if len(s):
-                    chunk.append(i)
+                    chunk.append((i, s))
                     held += len(s)
                 if held >= CHUNK:
-                    flush(chunk)
-                    chunk, held = [], 0
-            flush(chunk)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names)
+                    flush()
+                    held = 0
+            flush()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names)
 
     return run
 
@@ -97,7 +103,7 @@ def _describe(size: int, bands: int, rows: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()]
+            made = [s.tobytes() for s in shingle_sets(bodies(batch.column(1)), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "items"])
 
     return run
@@ -142,7 +148,7 @@ def _block_links(percent: int):
                 who = rows[s:e]
                 shared[np.ix_(who, who)] += 1
         union = sizes[:, None] + sizes[None, :] - shared
-        _, name = np.unique(np.array(labels, dtype=object).astype(str), return_inverse=True)
+        _, name = np.unique(np.array(labels, dtype=object), return_inverse=True)
         hit = (100 * shared >= percent * union) & minor[:, None] & (name[:, None] != name[None, :])
         x, y = np.nonzero(hit)
         _, first = np.unique(x * (name.max() + 1 if len(name) else 1) + name[y], return_index=True)
@@ -151,34 +157,24 @@ def _block_links(percent: int):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+def _told(src: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    kind = src.schema["id"].dataType.simpleString()
+    return cut(src.mapInArrow(_describe(size, bands, rows), f"id {kind}, tid binary, n_shingles long, set_key binary, bands array<bigint>"), "told")
 
-    Two documents are linked when 100 * shared shingles >= percent * all shingles;
-    component_id is the least id reachable over links, the row's own included. A
-    null text and one without words have an empty set and are linked with nothing;
-    rows with a null id keep a null component and are kept. Equal sets form a class
-    that takes part once, through its least id, however many rows it has; rows
-    with the same id and set are one document. Extra columns are not carried.
 
-    Within a bucket all members are first compared with one pivot, then, where
-    more than one component is left, with pivots drawn anew for each bucket.
-    What still differs is compared in full, block by block: no link is lost to
-    the size of a bucket, and no bucket is held in one task.
+def _components(src: DataFrame, told: DataFrame, percent: int, size: int) -> DataFrame:
+    """(set_key, component) of every set in ``told``; the component is named by the least key reachable.
+
+    A set takes part once, however many rows have it.
     """
-    spark = df.sparkSession
-    ship(spark)
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
-    told = cut(src.mapInArrow(_describe(size, bands, rows), f"id {kind}, n_shingles long, set_key binary, bands array<bigint>"), "told")
-    # a class: the least id of an equal set
-    classes = told.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    classes = cut(classes, "classes")
+    classes = cut(told.filter("set_key is not null").groupBy(F.col("set_key").alias("rep")).agg(F.min(F.struct("tid", "id")).alias("one"), F.first("bands").alias("bands")), "classes")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
     members = cut(keys.join(shared, "key").select("key", "rep", "pivot"), "members")
-    needed = members.select(F.col("rep").alias("id")).distinct()
-    sets = cut(src.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), f"id {kind}, items binary"), "sets")
+    needed = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("one.id").alias("_id"), F.col("one.tid").alias("_tid"))
+    texts = src.join(needed, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tid") == F.col("_tid"))).dropDuplicates(["id", "tid"])
+    sets = cut(texts.select("rep", "text").mapInArrow(_sets(size), "id binary, items binary"), "sets")
+    alone = lambda labels: _labelled(classes, labels)
 
     pairs = members.filter("rep <> pivot").select(F.col("pivot").alias("p"), F.col("rep").alias("q")).distinct()
     links = cut(_verify(pairs, sets, percent), "links")
@@ -188,7 +184,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("rep", "label"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot"), F.count(F.lit(1)).alias("n")).filter("low <> high and n > 2")
         open_members = cut(labelled.join(mixed.select("key", "pivot"), "key"), "open")
         if open_members.isEmpty():
-            return _result(told, classes, labels)
+            return alone(labels)
         if turn == 0:
             pairs = open_members.filter("label <> pivot.label").select(F.least("rep", "pivot.rep").alias("p"), F.greatest("rep", "pivot.rep").alias("q")).distinct()
             links = cut(links.union(_verify(pairs, sets, percent)), "links")
@@ -204,17 +200,77 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = left.select("key", "i", "j", "rep", "label", "minor").union(right.select("key", "i", "j", "rep", "label", "minor"))
     blocks = blocks.groupBy("key", "i", "j", "rep", "label").agg(F.max("minor").alias("minor"))
     rows_ = blocks.join(sets, F.col("rep") == F.col("id")).select("key", "i", "j", "id", "label", "minor", "items")
-    found = rows_.groupBy("key", "i", "j").applyInArrow(_block_links(percent), f"p {kind}, q {kind}")
+    found = rows_.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "p binary, q binary")
     links = cut(links.union(found), "links")
-    return _result(told, classes, connected_components(links, "p", "q"))
+    return alone(connected_components(links, "p", "q"))
+
+
+def _labelled(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    return classes.select(F.col("rep").alias("set_key")).join(labels, F.col("set_key") == F.col("node"), "left").select("set_key", F.coalesce("component", "set_key").alias("component"))
+
 
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept.
 
-def _result(told: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    reps = classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("class_component"))
+    Two documents are linked when 100 * shared shingles >= percent * all shingles;
+    component_id is the least id reachable over links, the row's own included. A
+    null text and one without words have an empty set and are linked with nothing;
+    rows with a null id keep a null component and are kept. Equal sets form a class
+    that takes part once, however many rows it has. An id under several texts is a
+    document of its own for each. Extra columns are not carried. An empty table
+    gives no rows.
+
+    Within a bucket all members are first compared with one pivot, then, where
+    more than one component is left, with pivots drawn anew for each bucket.
+    What still differs is compared in full, block by block: no link is lost to
+    the size of a bucket, and no bucket is held in one task.
+    """
+    ship(df.sparkSession)
+    src = df.select(F.col(f"`{id_col}`").alias("id"), text_id(f"`{text_col}`").alias("tid"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    told = _told(src, size, bands, rows)
+    named = told.filter("id is not null")
+    labels = _components(src.filter("id is not null"), named, percent, size)
+    of_set = named.groupBy("set_key").agg(F.min("id").alias("least")).join(labels, "set_key")
+    least = of_set.groupBy("component").agg(F.min("least").alias("least"))
+    reps = of_set.select("set_key", "component").join(least, "component").select("set_key", "least")
     out = told.select("id", "n_shingles", "set_key").join(reps, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("class_component", "id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``df``, of each group of near-duplicates one; columns as before.
+
+    The row with the least id stays, null ids last, and of equal ids the one with
+    the least digest of its text; of rows equal in both, the least by a hash of
+    all columns. So a repeated row stays once, and an id under two texts stays
+    with each text that is not a near-duplicate. Rows without words stay as they
+    are. An empty table gives an empty table.
+    """
+    ship(df.sparkSession)
+    src = df.select(F.col(f"`{id_col}`").alias("id"), text_id(f"`{text_col}`").alias("tid"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    told = _told(src, size, bands, rows)
+    labels = _components(src, told, percent, size)
+    each = told.filter("set_key is not null").groupBy("id", "tid", "set_key").agg(F.count(F.lit(1)).alias("n")).join(labels, "set_key")
+    best = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid")).alias("best"))
+    marks = each.join(best, "component").select("id", "tid", "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("tid") == F.col("best.tid"))).alias("stays"))
+    marks = cut(marks.filter("not stays or n > 1"), "marks")
+    names = [free_name(df, c) for c in ("_id", "_tid")]
+    tid = free_name(df, "_text")
+    docs = df.withColumn(tid, text_id(f"`{text_col}`"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (F.col(tid) == F.col(names[1]))
+    pick = [F.col("id").alias(names[0]), F.col("tid").alias(names[1])]
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    out = docs.join(marks.select(*pick), same, "left_anti").select(*columns)
+    again = marks.filter("stays")
+    if again.isEmpty():
+        return out
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    rows_ = docs.join(again.select(*pick), same, "left_semi")
+    one = rows_.groupBy(F.col(f"`{id_col}`").alias(names[0]), F.col(tid).alias(names[1])).agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias(tid))
+    return out.unionByName(one.select(*[F.col(tid).getField(c).alias(c) for c in df.columns]))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` by the contract of the query: links at 85 of 100 shingles; nulls and ties as ``near_duplicates`` says."""
     return near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kintrace.llm import bpe, chat, hnsw, langid, minhash, mixing, passages, quality, queries, suffix, tokenfiles
+from kintrace.llm import bpe, chat, hnsw, langid, minhash, mixing, passages, quality, queries, shingles, suffix, tokenfiles
 from kintrace.sources.shared import shared_dir
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -168,6 +168,8 @@ def test_minhash(spark, odd_texts):
     assert all(r.kept == (r.id == r.component_id) for r in out)
     again = minhash.near_duplicates(documents(spark, ["a b c d e f", "a b c d e f", "x", None], ids=[3, 3, None, 7])).collect()
     assert sorted((r.id is None, r.id or 0, r.component_id or 0, r.kept) for r in again) == [(False, 3, 3, True), (False, 3, 3, True), (False, 7, 7, True), (True, 0, 0, True)]
+    twice = {(r.id, r.n_shingles): r.component_id for r in minhash.near_duplicates(documents(spark, ["a b c d e f", "g h i j k l m", "g h i j k l m"], ids=[5, 5, 2])).collect()}
+    assert twice == {(5, 2): 5, (5, 3): 2, (2, 3): 2}
     assert minhash.near_duplicates(documents(spark, texts).limit(0)).count() == 0
 
 
@@ -334,7 +336,7 @@ def _brute_passage(a, b, width, least):
 
 def test_passages_inserted_and_deleted():
     rng = np.random.default_rng(17)
-    word_shingles = lambda w: passages.shingles(w.astype("u8"), 5)
+    word_shingles = lambda w: shingles.shingles(w.astype("u8"), 5)
     for n, more in ((64, 4), (64, 6), (80, 8)):
         base, new = rng.integers(1, 2**60, n), rng.integers(1, 2**60, more)
         a, b = word_shingles(base), word_shingles(np.r_[base[: n // 2], new, base[n // 2 :]])
@@ -365,11 +367,11 @@ def _pairs_without_a_range(hashes):
         x[40:90] = y[40:90]
         x[65] += np.uint64(1)
         sides = [defaultdict(list), defaultdict(list)]
-        for d, k, rows in passages.compact_windows([passages.shingles(x), passages.shingles(y)], hashes, 46):
+        for d, k, rows in passages.compact_windows([shingles.shingles(x), shingles.shingles(y)], hashes, 46):
             for side, r in zip(d.tolist(), rows.tolist(), strict=True):
                 sides[side][r[0], k].append((r[2], r[1], r[3]))
-        seeds = [(key[1], *one, *two) for key in sides[0].keys() & sides[1].keys() for one in sides[0][key] for two in sides[1][key]]
-        lost += not any(a0 <= 40 and a1 >= 85 and b0 <= 40 and b1 >= 85 for a0, a1, b0, b1 in passages.agreeing_ranges(seeds, 46, passages.AGREE))
+        over = [{key for key, found in side.items() if any(first <= 40 and last >= 85 for _, first, last in found)} for side in sides]
+        lost += len({k for _, k in over[0] & over[1]}) < passages.AGREE
     return lost
 
 
@@ -390,30 +392,71 @@ def test_passages_of_a_template(spark, block, monkeypatch):
     assert pairs == {(i, i + 1) for i in range(0, 48, 2)}
 
 
-def test_agreeing_ranges():
+def test_ranges(spark):
     rng = random.Random(19)
-    # many seeds of one hash at other shifts stand between two that agree
-    lone = [(0, 5000 + 300 * k, 4960 + 300 * k, 5040 + 300 * k, 110 + k % 7, 80, 180) for k in range(20)]
-    pair = [(1, 120, 90, 190, 109, 80, 180), (2, 140, 90, 190, 129, 80, 180)]
-    assert list(passages.agreeing_ranges(lone + pair, 46, 2)) == [(90, 190, 80, 180)]
-    # the ninth window of a run meets the first
-    run = [(0, 100 + k, 60, 160, 100 + k, 60, 160) for k in range(12)] + [(1, 113, 100, 200, 113, 100, 200)]
-    assert list(passages.agreeing_ranges(run, 46, 2)) == [(100, 160, 100, 160)]
-    for few in (7, 256):
-        passages.SEEDS, saved = few, passages.SEEDS
-        try:
-            for _ in range(30):
-                seeds = []
-                for _ in range(30):
-                    a, b, n, m = rng.randrange(2000), rng.randrange(300), rng.randrange(46, 120), rng.randrange(46, 120)
-                    seeds.append((rng.randrange(4), a + 9, a, a + n, b + 9, b, b + m))
-                met = [(max(x[2], y[2]), min(x[3], y[3]), max(x[5], y[5]), min(x[6], y[6])) for x in seeds for y in seeds if x[0] != y[0]]
-                met = [r for r in met if r[1] - r[0] >= 45 and r[3] - r[2] >= 45]
-                got = list(passages.agreeing_ranges(seeds, 46, 2))
-                assert bool(got) == bool(met)
-                assert all(any(g[0] <= r[0] and r[1] <= g[1] and g[2] <= r[2] and r[3] <= g[3] for g in got) for r in met)
-        finally:
-            passages.SEEDS = saved
+    seeds = []
+    for _ in range(400):
+        p, q = rng.randrange(3), rng.randrange(3, 6)
+        a, b, n, m = rng.randrange(2000), rng.randrange(300), rng.randrange(46, 120), rng.randrange(46, 120)
+        seeds.append(((p, a + 9, a, a + n), (q, b + 9, b, b + m), 1 << rng.randrange(4)))
+    window = "struct<id:long,centre:int,first:int,last:int>"
+    df = spark.createDataFrame([(b, a, k) if i % 2 else (a, b, k) for i, (a, b, k) in enumerate(seeds)], f"a {window}, b {window}, met int")
+    got = [tuple(r) for r in passages._ranges(df, 46).collect()]
+    for a, b, k in seeds:
+        for c, d, m in seeds:
+            if (a[0], b[0]) == (c[0], d[0]) and k != m:
+                r = (max(a[2], c[2]), min(a[3], c[3]), max(b[2], d[2]), min(b[3], d[3]))
+                if r[1] - r[0] >= 45 and r[3] - r[2] >= 45:
+                    assert any((p, q) == (a[0], b[0]) and x <= r[0] and r[1] <= y and u <= r[2] and r[3] <= v for p, q, x, y, u, v in got)
+
+
+def test_passages_that_drift(spark):
+    """Families in which each document changes one word of the passage of the one before: all pairs are of one component, each end is found."""
+    rng = random.Random(37)
+    texts, family, parts = [], [], []
+    for f in range(6):
+        passage = words(rng, 80, 5000).split()
+        for _ in range(20):
+            passage[rng.randrange(80)] = f"w{rng.randrange(5000)}"
+            family.append(f)
+            parts.append(_shingles(" ".join(passage)))
+            texts.append(f"{words(rng, 60, 5000)} {' '.join(passage)} {words(rng, 60, 5000)}")
+    near = passages.near_passages(documents(spark, texts))
+    label = {r.node: r.component for r in passages.components(near).collect()}
+    want = _brute_components(dict(enumerate(parts)), 80)
+    pairs = [(i, j) for i in want for j in want if i < j and 5 * len(parts[i] & parts[j]) >= 4 * len(parts[i] | parts[j])]
+    assert len(pairs) > 100 and all(label.get(i) == label.get(j) is not None for i, j in pairs)
+    assert all(family[i] == family[label[i]] for i in label)
+
+
+def test_passages_met_often(spark):
+    """One passage in 300 documents, one word changed in a third of them, and lines that all share without being near-duplicates."""
+    rng = random.Random(41)
+    line, passage = words(rng, 25, 5000), words(rng, 60, 5000).split()
+    texts = []
+    for i in range(300):
+        t = list(passage)
+        if i % 3 == 0:
+            t[rng.randrange(60)] = f"new{i}"
+        texts.append(f"{words(rng, 40, 5000)} {line} {words(rng, 40, 5000)} {' '.join(t) if i < 200 else ''} {words(rng, 30, 5000)}")
+    label = {r.node: r.component for r in passages.components(passages.near_passages(documents(spark, texts))).collect()}
+    assert set(label) == set(range(200)) and set(label.values()) == {0}
+
+
+def test_passages_of_one_id(spark):
+    a, b = words(random.Random(43), 70, 5000), words(random.Random(44), 70, 5000)
+    near = passages.near_passages(documents(spark, [a, b, a, b, "x y", None], ids=[1, 1, 2, 3, None, 4])).collect()
+    assert len(near) == 1 and near[0].p == 1 and near[0].q in (2, 3)
+
+
+def test_repeating_shingles():
+    rng = np.random.default_rng(47)
+    base = rng.integers(1, 2**60, 70).astype("u8")
+    period, other = np.tile(base[:12], 12), np.tile(np.r_[base[:11], base[40:41]], 9)
+    for a, b in ((np.full(90, 5, "u8"), np.full(60, 5, "u8")), (period, period[5:90]), (period, other), (np.r_[base, base], np.r_[base[35:], base[:35]]), (np.r_[base[40:], period], np.r_[base[:30], other])):
+        assert all(value >= 0.8 for *_, value in passages.common_passages(a, b, 46, 0.8))
+        assert bool(list(passages.common_passages(a, b, 46, 0.8))) == _brute_passage(a.tolist()[:120], b.tolist()[:110], 46, 0.8)
+    assert not list(passages.common_passages(np.tile(base[:8], 9), np.tile(np.r_[base[:5], base[50:53]], 9), 46, 0.8))
 
 
 def test_cartesian():
@@ -504,6 +547,26 @@ def test_pipeline_near_dedup_at_80(spark, tmp_path):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_pipeline_repeated_rows(spark, tmp_path):
+    """Equal rows leave one; an id under two texts keeps the one that is no copy."""
+    rng = random.Random(53)
+    one, two, three = (words(rng, 90, 3000) for _ in range(3))
+    df = documents(spark, [one, one, two, three, two, None, None, "", one], ids=[7, 7, 40, 41, 41, 8, 8, 9, None])
+    near = corpus_pipeline.near_dedup(spark, df, str(tmp_path))
+    assert near.columns == df.columns
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    want = [(7, one), (8, None), (8, None), (9, ""), (40, two), (41, three)]
+    assert [(r.doc_id, r.text) for r in sorted(near.collect(), key=key)] == want
+    assert [(r.doc_id, r.text) for r in sorted(corpus_pipeline.passage_dedup(spark, near, str(tmp_path)).collect(), key=key)] == want
+
+
+def test_pipeline_empty(spark, tmp_path):
+    docs = documents(spark, ["x"]).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
+
+
 def test_queries_registered(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert shared_dir(spark)
