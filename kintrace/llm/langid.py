@@ -8,21 +8,24 @@ labels every word; the labels' runs are the spans.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, free_name, ship, text_or_empty
 
 #: Documents that are learned from, per language (expected number; chosen by a hash of the id).
 TRAIN_DOCS = 2_000
-#: N-grams kept, the most frequent ones.
-MAX_GRAMS = 80_000
+#: N-grams kept of each language, its most frequent ones.
+MAX_GRAMS = 20_000
 #: Nats that a switch of language costs.
 SWITCH = 14.0
 #: Distinct words whose scores a Python worker keeps.
@@ -31,7 +34,32 @@ MEMO_WORDS = 150_000
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words from which on a text's path is found in blocks.
+LONG_TEXT = 1_000
+ASCII_LETTERS = re.compile(r"[a-z]+")
+
+
+@cache
+def _letters() -> re.Pattern:
+    """Runs that begin with a letter (Unicode category L) and go on with letters and the marks on them (M)."""
+    kinds = {"L": [], "M": []}
+    for code in range(sys.maxunicode + 1):
+        found = kinds.get(unicodedata.category(chr(code))[0])
+        if found is not None:
+            if found and found[-1][1] == code - 1:
+                found[-1][1] = code
+            else:
+                found.append([code, code])
+    letter, mark = ("".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in kinds[k]) for k in "LM")
+    return re.compile(f"[{letter}][{letter}{mark}]*")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, in lower case."""
+    text = text.lower()
+    return (ASCII_LETTERS if text.isascii() else _letters()).findall(text)
+
+
 #: First and last code point, script.
 SCRIPTS = [
     (0x41, 0x24F, "latin"), (0x1E00, 0x1EFF, "latin"), (0x370, 0x3FF, "greek"), (0x1F00, 0x1FFF, "greek"),
@@ -74,7 +102,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = Counter(LETTERS.findall(text.lower()))
+            words = Counter(words_of(text))
             for word, n in words.items():
                 seen[lang, "\t" + script_of(word)] += n
                 for g in grams(word):
@@ -87,7 +115,8 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     ``usable`` restricts the rows (by default those that are not held out). Rows
     with a null language, id or text are not learned from. What reaches the
-    driver is bounded by ``MAX_GRAMS`` rows a language.
+    driver is bounded by ``MAX_GRAMS`` rows a language. Rows that share an id are
+    taken or left together; equal rows count each; ties in frequency go by n-gram.
     """
     ship(df.sparkSession)
     usable = ~held_out(id_col) if usable is None else usable
@@ -102,8 +131,12 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         take = take | ((F.col(lang_col) == lang) & (draw < int(1_000_000 * min(1.0, per_lang / counts[lang])) + 1))
     seen = rows.filter(take).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, gram string, n long")
     seen = seen.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    by_gram = seen.groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    kept = by_gram.orderBy(F.col("gram").startswith("\t").desc(), F.col("total").desc(), "gram").limit(MAX_GRAMS).collect()
+    seen = seen.withColumn("script", F.col("gram").startswith("\t"))
+    rank = F.row_number().over(Window.partitionBy("lang", "script").orderBy(F.col("n").desc(), "gram"))
+    # the most frequent of each language, with their counts in all languages
+    seen = seen.withColumn("top", F.col("script") | (rank <= MAX_GRAMS))
+    by_gram = seen.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.max("top").alias("top"))
+    kept = by_gram.filter("top").select("gram", "by").orderBy("gram").collect()
     at = {lang: i for i, lang in enumerate(langs)}
     index, table, scripts = {}, [], {}
     for r in kept:
@@ -167,7 +200,53 @@ class Scorer:
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
-    """The best language of each word. Documents stand one after another; all advance together by one word."""
+    """The best language of each word. Documents stand one after another; all advance together by one word.
+
+    Texts of ``LONG_TEXT`` words or more are taken one by one, in blocks. Of equal
+    languages the first is taken.
+    """
+    path = np.zeros(len(scores), "i2")
+    ends = np.cumsum(sizes)
+    large = sizes >= LONG_TEXT
+    for k in np.flatnonzero(large):
+        at = slice(int(ends[k] - sizes[k]), int(ends[k]))
+        path[at] = _blocks(scores[at], penalty)
+    if large.any():
+        rest = ~np.repeat(large, sizes)
+        path[rest] = _together(scores[rest], sizes[~large], penalty)
+        return path
+    return _together(scores, sizes, penalty)
+
+
+def _blocks(scores: np.ndarray, penalty: float) -> np.ndarray:
+    """The path of one long text. All blocks advance together, first from every language, which links their ends, then along the path."""
+    n, n_lang = scores.shape
+    size = int(np.ceil(np.sqrt(n)))
+    count = -(-n // size)
+    # rows of zeros at the end prefer nothing
+    blocks = np.zeros((count * size, n_lang))
+    blocks[:n] = scores
+    blocks = blocks.reshape(count, size, n_lang)
+    through = np.full((count, n_lang, n_lang), -np.inf)
+    through[:, np.arange(n_lang), np.arange(n_lang)] = blocks[:, 0]
+    for t in range(1, size):
+        through = np.maximum(through, through.max(2, keepdims=True) - penalty) + blocks[:, t][:, None]
+    enter = np.zeros((count, n_lang))
+    last = np.zeros((count, n_lang))
+    for k in range(count):
+        if k:
+            enter[k] = np.maximum(last[k - 1], last[k - 1].max() - penalty)
+        last[k] = (enter[k][:, None] + through[k]).max(0)
+    final = np.zeros(count, "i2")
+    final[-1] = last[-1].argmax()
+    for k in range(count - 1, 0, -1):
+        first = int((enter[k] + through[k][:, final[k]]).argmax())
+        final[k - 1] = first if last[k - 1][first] >= last[k - 1].max() - penalty else last[k - 1].argmax()
+    return _together(blocks.reshape(-1, n_lang), np.full(count, size), penalty, enter, final)[:n]
+
+
+def _together(scores: np.ndarray, sizes: np.ndarray, penalty: float, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
+    """The best paths; ``enter`` is what each language has before a document's first word, ``leave`` the language of its last one."""
     n, n_lang = scores.shape
     path = np.zeros(n, "i2")
     if n == 0:
@@ -180,6 +259,8 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     best, moved = np.zeros(n, "i2"), np.zeros((n, n_lang), bool)
     final = np.zeros(len(starts), "i2")
     state = scores[starts[: alive[0]]].astype("f8")
+    if enter is not None:
+        state += enter[order[: alive[0]]]
     for t in range(1, longest):
         k = alive[t]
         if k < len(state):
@@ -192,7 +273,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
         moved[at] = state < jump
         state = np.maximum(state, jump) + scores[at]
     final[: len(state)] = state.argmax(1)
-    now = final
+    now = final if leave is None else leave[order].copy()
     for t in range(longest - 1, -1, -1):
         k = alive[t]
         at, here = starts[:k] + t, now[:k]
@@ -207,8 +288,9 @@ def detect(df: DataFrame, model: Model, text_col: str = "text", penalty: float =
 
     A null text and one without letters get ``und`` and score 0. ``spans_col``
     adds the runs of one language as structs (lang, first_word, words), counted
-    in runs of letters. ``keep`` names the columns to carry, all by default;
-    clashing names get underscores. A model without languages gives ``und``.
+    in words (a letter and the letters and marks that follow). ``keep`` names the columns to carry, all by default;
+    clashing names get underscores. A model without languages gives ``und``, an
+    empty table no rows; equal texts get equal rows.
     """
     spark = df.sparkSession
     ship(spark)
@@ -228,7 +310,7 @@ def detect(df: DataFrame, model: Model, text_col: str = "text", penalty: float =
             for first in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(first, 2_000)
                 at = batch.num_columns - 1
-                texts = [LETTERS.findall(t.lower()) for t in batch.column(at).to_pylist()]
+                texts = [words_of(t) for t in batch.column(at).to_pylist()]
                 if not langs:
                     texts = [[] for _ in texts]
                 sizes = np.array([len(w) for w in texts], "i8")
@@ -264,6 +346,7 @@ def _spans(path: np.ndarray, sizes: np.ndarray, langs: list[str]) -> list[list[d
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` by the contract of the query; nulls and ties as ``learn`` and ``detect`` say."""
     docs = documents(spark, sf_dir)
     found = detect(docs.select("doc_id", "text"), learn(docs), keep=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

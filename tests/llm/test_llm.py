@@ -225,6 +225,46 @@ def test_viterbi_by_hand():
         base += n
 
 
+def test_viterbi_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(61)
+    sizes = np.array([5, 1_300, 0, 900, 2_111])
+    scores = rng.normal(size=(int(sizes.sum()), 4)).astype("f4")
+    whole = langid.viterbi(scores, sizes, 3.0)
+    monkeypatch.setattr(langid, "LONG_TEXT", 10**9)
+    assert (whole == langid.viterbi(scores, sizes, 3.0)).all() and len(np.unique(whole)) == 4
+
+
+def test_letters():
+    assert langid.words_of("½ ² Ⅷ ① 12_3 \u0301") == []
+    assert langid.words_of("हिन्दी, ÀB's x1y") == ["हिन्दी", "àb", "s", "x", "y"]
+
+
+def test_langid_scores(spark):
+    """Scores against a plain count of n-grams, and every held-out row right."""
+    rng = random.Random(67)
+    made = {"a": "abcde", "b": "defgh", "c": "абвгд"}
+    rows = [(lang, " ".join("".join(rng.choice(made[lang]) for _ in range(rng.randrange(2, 7))) for _ in range(30))) for lang in "abc" for _ in range(30)]
+    rows += [("a", "½ ²"), (None, "abc abd"), ("b", None), ("c", "")]
+    df = documents(spark, [t for _, t in rows], langs=[lang for lang, _ in rows])
+    model = langid.learn(df)
+    learned = [(lang, t) for i, (lang, t) in enumerate(rows) if lang and t and zlib.crc32(str(i).encode()) % 4 != 2]
+    count = defaultdict(Counter)
+    for lang, t in learned:
+        for w in langid.words_of(t):
+            count[lang].update(langid.grams(w))
+    known = set().union(*count.values())
+    assert set(model.index) == known
+    total = {lang: sum(count[lang][g] + 0.5 for g in known) for lang in "abc"}
+    scorer = langid.Scorer(model)
+    for w in ("abc", "defgg", "ea"):
+        plain = [sum(np.log(count[lang][g] + 0.5 if g in known else 0.5) - np.log(total[lang]) for g in langid.grams(w)) for lang in "ab"]
+        got = scorer.score([w])[0]
+        assert got[0] - got[1] == pytest.approx(plain[0] - plain[1], abs=1e-3)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.detect(df.select("doc_id", "text"), model).collect()}
+    assert all(found[i][0] == rows[i][0] for i in range(90))
+    assert [found[i] for i in (90, 92, 93)] == [("und", 0.0)] * 3
+
+
 def _brute_repeats(texts, length=200):
     bodies = [(t or "").encode() for t in texts]
     n = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
