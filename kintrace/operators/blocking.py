@@ -121,3 +121,10 @@ def metrics(candidates: DataFrame, truth: DataFrame, n_entities: int) -> DataFra
     out = hit.groupBy("scheme").agg(F.count(F.lit(1)).alias("pairs"), F.count("vis").alias("hits"), *[F.count_if(F.col("vis") == v).alias(f"hits_{v}") for v in ("identical", "visible", "invisible")])
     space = n_entities * (n_entities - 1) // 2
     return out.crossJoin(F.broadcast(total)).withColumn("space", F.lit(space).cast("long"))
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """Pair completeness (in all and by stratum), reduction ratio and pair quality in per cent, from ``metrics``."""
+    part = lambda k, n: F.round(F.coalesce(F.try_divide(100.0 * F.col(k), F.col(n)), F.lit(0.0)), 6)
+    strata = [part(f"hits_{v}", f"truth_{v}").alias(f"pc_{v}") for v in ("identical", "visible", "invisible")]
+    return counts.select("scheme", part("hits", "truth").alias("pc"), F.round(100.0 * (1 - F.col("pairs") / F.col("space")), 6).alias("rr"), part("hits", "pairs").alias("pq"), *strata)

@@ -78,3 +78,33 @@ def pairwise(truth: DataFrame, pred: DataFrame) -> DataFrame:
 def exact_families(table: DataFrame) -> DataFrame:
     """Families whose parent's cluster is the family and nothing else."""
     return table.filter("nij = ni and nij = nj").select("fam")
+
+
+def bcubed_sweep(truth: DataFrame, links: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(thr, precision, recall, f1) in B-cubed terms of the clusters that links (a, b, score) make at each threshold.
+
+    The thresholds are layers of one graph, so that components are found once.
+    """
+    layers = F.explode(F.array(*[F.lit(i) for i in range(len(thresholds))]))
+    values = F.array(*[F.lit(t) for t in thresholds])
+    node = lambda c: F.struct(F.col("layer"), F.col(c).alias("uei"))
+    of = links.withColumn("layer", layers).filter(F.col("score") >= F.element_at(values, F.col("layer") + 1))
+    labels = connected_components(of.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+    entities = truth.withColumn("layer", layers).withColumn("node", node("uei"))
+    both = entities.join(labels, "node", "left").select("layer", "uei", "fam", F.coalesce("component.uei", "uei").alias("cluster"))
+    nij = both.groupBy("layer", "fam", "cluster").agg(F.count(F.lit(1)).alias("nij"))
+    ni = both.groupBy("layer", "fam").agg(F.count(F.lit(1)).alias("ni"))
+    nj = both.groupBy("layer", "cluster").agg(F.count(F.lit(1)).alias("nj"))
+    sq, n = F.col("nij") * F.col("nij"), F.sum("nij")
+    out = nij.join(ni, ["layer", "fam"]).join(nj, ["layer", "cluster"]).groupBy("layer").agg((F.sum(sq / F.col("nj")) / n).alias("precision"), (F.sum(sq / F.col("ni")) / n).alias("recall"))
+    f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))
+    return out.select(F.element_at(values, F.col("layer") + 1).alias("thr"), "precision", "recall", f1.alias("f1"))
+
+
+def flags(cells: DataFrame, margin: float = 0.05) -> DataFrame:
+    """Adds to confusion counts the F1 value, that of saying yes always, the lift over it, whether it is beaten by the margin, and whether nearly all is said yes to."""
+    pos, n = F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    ratio = lambda k, of: F.coalesce(F.try_divide(k, of), F.lit(0.0))
+    out = cells.withColumn("f1", ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).withColumn("floor_f1", ratio(2.0 * pos, n + pos))
+    out = out.withColumn("lift", F.col("f1") - F.col("floor_f1")).withColumn("beats", F.col("lift") > margin)
+    return out.withColumn("degenerate", (ratio(F.col("tp"), pos) > 0.99) & (ratio(F.col("tp"), F.col("tp") + F.col("fp")) < 0.4))

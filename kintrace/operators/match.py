@@ -90,3 +90,10 @@ def logistic(features: DataFrame, columns: list[str]) -> DataFrame:
     joined = VectorAssembler(inputCols=columns, outputCol="x").transform(features).withColumn("y", F.col("label").cast("double")).withColumn("w", weight)
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=2000, regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False).fit(joined.filter("split = 'train'"))
     return model.transform(joined).withColumn("probability", vector_to_array("probability")[1]).drop("x", "y", "w", "rawPrediction", "prediction")
+
+
+def same(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """Pairs with ``same_<column>``: 1 where both sides have the same known value, else 0."""
+    side = lambda s: values.select(F.col("uei").alias(f"{s}_uei"), F.col(column).alias(f"_{s}"))
+    both = pairs.join(side("left"), "left_uei").join(side("right"), "right_uei")
+    return both.withColumn(f"same_{column}", F.coalesce((F.col("_left") == F.col("_right")).cast("double"), F.lit(0.0))).drop("_left", "_right")

@@ -689,8 +689,8 @@ def _truth(spark, d, split="test"):
     return kept.select("split", "uei", "name", F.col("puei").alias("fam")).union(kept.select("split", F.col("puei"), F.col("pname"), F.col("puei"))).filter(F.col("split") == split).groupBy("uei").agg(F.min("fam").alias("fam"), F.min("name").alias("name"))
 
 
-def _links(spark, d, blocked=True):
-    t = _truth(spark, d).select("uei", "name")
+def _links(spark, d, blocked=True, split="test"):
+    t = _truth(spark, d, split).select("uei", "name")
     if blocked:
         c = blocking.by_keys(t, "token")
     else:

@@ -15,10 +15,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a temporary folder is made and set.
+    Only where it is unset and the master is local, as in tests, a temporary folder
+    is made and set; on a cluster such a folder would not be shared, so that is an error.
     """
     path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kintrace-")
         spark.conf.set(CHECKPOINT_DIR, path)
         spark.sparkContext.setCheckpointDir(path)

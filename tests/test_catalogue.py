@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import DATA
-from kintrace.plans.catalogue import ORACLES, QUERIES
+from kintrace.plans.extra import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
