@@ -104,15 +104,15 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     The one text a source's budget ends in is cut after its last word taken, and
     ``size_col``, if there, becomes its number of characters. Rows that are equal
-    in id and text count as one document that is taken as often as they are
-    together. Documents without words are never taken.
+    in id, source and text count as one document that is taken as often as they
+    are together. Documents without words are never taken.
     """
-    names = {c: free_name(df, c) for c in ("_id", "_tie", "_size", "_taken", "_copy", "_t")}
-    plan = mix(df, id_col, source_col, text_col, **options).groupBy("doc_id", "tie").agg(F.max("size").alias(names["_size"]), F.sum("taken").alias(names["_taken"])).filter(F.col(names["_taken"]) > 0)
-    plan = plan.withColumnRenamed("doc_id", names["_id"]).withColumnRenamed("tie", names["_tie"])
+    names = {c: free_name(df, c) for c in ("_id", "_tie", "_from", "_size", "_taken", "_copy", "_t")}
+    plan = mix(df, id_col, source_col, text_col, **options).groupBy("doc_id", "tie", "_source").agg(F.max("size").alias(names["_size"]), F.sum("taken").alias(names["_taken"])).filter(F.col(names["_taken"]) > 0)
+    plan = plan.withColumnRenamed("doc_id", names["_id"]).withColumnRenamed("tie", names["_tie"]).withColumnRenamed("_source", names["_from"])
     body = F.col(f"`{text_col}`")
-    once = df.withColumn(names["_t"], F.xxhash64(text_or_empty(f"`{text_col}`"))).dropDuplicates([id_col, names["_t"]])
-    out = once.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col(names["_id"])) & (F.col(names["_t"]) == F.col(names["_tie"])))
+    once = df.withColumn(names["_t"], F.xxhash64(text_or_empty(f"`{text_col}`"))).dropDuplicates([id_col, source_col, names["_t"]])
+    out = once.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col(names["_id"])) & (F.col(names["_t"]) == F.col(names["_tie"])) & F.col(f"`{source_col}`").eqNullSafe(F.col(names["_from"])))
     taken, size = F.col(names["_taken"]), F.col(names["_size"])
     out = out.withColumn(names["_copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken / size).cast("long"))))
     words = taken - (F.col(names["_copy"]) - 1) * size

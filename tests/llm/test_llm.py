@@ -600,6 +600,13 @@ def test_pipeline_repeated_rows(spark, tmp_path):
     assert [(r.doc_id, r.text) for r in sorted(corpus_pipeline.passage_dedup(spark, near, str(tmp_path)).collect(), key=key)] == want
 
 
+def test_mixed_rows_of_two_sources(spark):
+    docs = documents(spark, ["a b c d", "a b c d", "a b c d", "e f"], ids=[1, 1, 1, 2], sources=["x", "y", None, "x"])
+    got = Counter((r.doc_id, r.source) for r in mixing.mixed_rows(docs).collect())
+    plan = {(r.doc_id, r._source): -(-r.taken // r["size"]) for r in mixing.mix(docs).collect() if r.taken}
+    assert got == Counter(plan) and {s for _, s in got} == {"x", "y", None}
+
+
 def test_pipeline_empty(spark, tmp_path):
     docs = documents(spark, ["x"]).limit(0)
     for _, stage in corpus_pipeline.STAGES:
