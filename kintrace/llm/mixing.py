@@ -48,8 +48,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
         ranked.withColumn("bound", bound)
         .withColumn("total", F.sum("source_size").over(every).cast("double"))
         .withColumn("rate", (F.col("total") - F.coalesce(F.sum("bound").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        .withColumn("target", F.least("bound", F.col("rate") * F.col("weight")))
-        # a bounded source's rate may be anything above its bound
+        # with each bounded source taken out the rate of the rest grows, with any other it falls: the greatest is that of all that are unbounded
+        .withColumn("target", F.least("bound", F.max("rate").over(every) * F.col("weight")))
         .select("source", "source_size", "rank", "weight", F.greatest("target", F.lit(0.0)).alias("target"))
     )
 
@@ -136,7 +136,7 @@ w AS (SELECT *, CAST(CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
                  - coalesce(sum(bound) OVER (ORDER BY bound / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                 / sum(weight) OVER (ORDER BY bound / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM w),
-t AS (SELECT source, source_size, greatest(least(bound, rate * weight), 0.0) AS target FROM l),
+t AS (SELECT source, source_size, greatest(least(bound, max(rate) OVER () * weight), 0.0) AS target FROM l),
 b AS (SELECT *, CAST(floor(target) AS BIGINT) AS budget,
              CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
 p AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.budget, b.epochs,

@@ -600,6 +600,24 @@ def test_pipeline_repeated_rows(spark, tmp_path):
     assert [(r.doc_id, r.text) for r in sorted(corpus_pipeline.passage_dedup(spark, near, str(tmp_path)).collect(), key=key)] == want
 
 
+def test_targets_by_resharing(spark):
+    """Targets against the rule as it is worded: share by weight, cut at three times the source, share the excess again."""
+    rng = random.Random(71)
+    for n in (1, 2, 5, 9):
+        sizes = {f"s{i}": rng.choice([0, 1, 10, 1000, 50_000]) for i in range(n)}
+        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}
+        target, free, left = dict.fromkeys(sizes, 0.0), set(sizes), float(sum(sizes.values()))
+        while free:
+            rate = left / sum(weight[s] for s in free)
+            full = {s for s in free if rate * weight[s] > 3 * sizes[s]}
+            for s in full or free:
+                target[s] = float(3 * sizes[s]) if full else rate * weight[s]
+            left -= sum(target[s] for s in full)
+            free = free - full if full else set()
+        got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        assert got == pytest.approx(target)
+
+
 def test_mixed_rows_of_two_sources(spark):
     docs = documents(spark, ["a b c d", "a b c d", "a b c d", "e f"], ids=[1, 1, 1, 2], sources=["x", "y", None, "x"])
     got = Counter((r.doc_id, r.source) for r in mixing.mixed_rows(docs).collect())
