@@ -641,10 +641,10 @@ def _(spark, d):
     return evaluate.average_precision(scores_of(spark, d).filter("split = 'test'")).select("scorer", F.round("ap", 6).alias("ap"))
 
 
-@query("report_summary", sql("SELECT max_by(scorer, f1) AS best, max(f1) AS highest, min(f1) AS lowest FROM best", "best"))
+@query("report_summary", sql("SELECT (SELECT scorer FROM best ORDER BY f1 DESC, scorer LIMIT 1) AS best, max(f1) AS highest, min(f1) AS lowest FROM best", "best"))
 def _(spark, d):
     b = evaluate.best_threshold(scores_of(spark, d).filter("split = 'val'"))
-    return b.agg(F.max_by("scorer", "f1").alias("best"), F.max("f1").alias("highest"), F.min("f1").alias("lowest"))
+    return b.agg(F.min(F.struct(-F.col("f1"), "scorer"))["scorer"].alias("best"), F.max("f1").alias("highest"), F.min("f1").alias("lowest"))
 
 
 def _features(spark, d, similarity=False):
