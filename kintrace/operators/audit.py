@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kintrace.functions.text import core, norm, norm_roster, strip_legal
+from kintrace.operators.order import placed
+from kintrace.sources.shared import cut
 
 
 def examples(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
@@ -64,12 +66,12 @@ def marks(roster: DataFrame, at: list[int]) -> DataFrame:
 
 def top_share(amounts: DataFrame, percents: list[int], floor: bool = False) -> DataFrame:
     """Share of all of ``a`` that the first ``frac`` per cent of rows have, one row at least."""
-    total = amounts.agg(F.sum("a").alias("total"), F.count(F.lit(1)).alias("n")).withColumn("frac", F.explode(F.array(*map(F.lit, percents))))
+    rows = cut(amounts.select("uei", "a"), "amounts")
+    total = rows.agg(F.sum("a").alias("total"), F.count(F.lit(1)).alias("n")).withColumn("frac", F.explode(F.array(*map(F.lit, percents))))
     exact = F.floor(F.col("n") * F.col("frac") / 100) if floor else F.bround(F.col("n") * F.col("frac") / 100.0, 0)
     total = total.withColumn("k", F.greatest(F.lit(1), exact.cast("long")))
-    most = total.agg(F.max("k")).first()[0] or 1
-    top = amounts.orderBy(F.desc("a"), "uei").limit(int(most)).withColumn("rn", F.row_number().over(Window.orderBy(F.desc("a"), "uei")))
-    return top.join(F.broadcast(total), F.col("rn") <= F.col("k")).groupBy("frac", "k").agg(F.round(F.sum("a").cast("double") / F.max("total").cast("double"), 9).alias("share"))
+    top = placed(rows, [F.desc("a"), F.col("uei")])
+    return top.join(F.broadcast(total), F.col("pos") <= F.col("k")).groupBy("frac", "k").agg(F.round(F.sum("a").cast("double") / F.max("total").cast("double"), 9).alias("share"))
 
 
 def reach(genuine: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kintrace.functions.text import block_key, core, norm, phonetic_key, qgrams, zip5
+from kintrace.operators.order import placed
 from kintrace.sources.shared import cut
 
 #: Keys with more members give no pairs, as part of the scheme.
@@ -55,17 +56,8 @@ def by_keys(entities: DataFrame, scheme: str, cap: int = MAX_BLOCK) -> DataFrame
 
 
 def positions(entities: DataFrame) -> DataFrame:
-    """Entities with their place in the order of (normalised name, id), without one task for all rows.
-
-    Rows are laid out in ranges; the sizes of the ranges before a row's own are
-    added to its place within the range.
-    """
-    named = entities.select("uei", norm(F.col("name")).alias("n"))
-    ordered = cut(named.repartitionByRange("n", "uei").withColumn("part", F.spark_partition_id()), "ordered")
-    w = Window.partitionBy("part").orderBy("n", "uei")
-    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ordered.withColumn("rn", F.row_number().over(w)).join(F.broadcast(before.select("part", "before")), "part").select("uei", (F.col("rn") + F.col("before")).alias("pos"))
+    """Entities with their place in the order of (normalised name, id), without one task for all rows."""
+    return placed(entities.select("uei", norm(F.col("name")).alias("n")), [F.col("n"), F.col("uei")]).select("uei", "pos")
 
 
 def sorted_neighbourhood(entities: DataFrame, window: int = 20) -> DataFrame:
@@ -94,9 +86,14 @@ def nearest(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col:
         sims = np.round(np.stack(x["v"]) @ np.stack(y["v"]).T, 9)
         xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
         sims[xi[:, None] == yi[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(yi, sims.shape), -sims), axis=1)[:, :k]
-        out = pd.DataFrame({"x": np.repeat(xi, order.shape[1]), "y": yi[order].ravel(), "score": np.take_along_axis(sims, order, 1).ravel()})
-        return out[np.isfinite(out["score"])]
+        least = min(k, len(yi))
+        floor = -np.partition(-sims, least - 1, axis=1)[:, least - 1]
+        r, c = np.nonzero((sims >= floor[:, None]) & np.isfinite(sims))  # the k best of a row and what ties with the last
+        order = np.lexsort((yi[c], -sims[r, c], r))
+        r, c = r[order], c[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c = r[first], c[first]
+        return pd.DataFrame({"x": xi[r], "y": yi[c], "score": sims[r, c]})
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(top, "x long, y long, score double")
     w = Window.partitionBy("x").orderBy(F.col("score").desc(), "y")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kintrace.functions.text import core, norm
+from kintrace.operators.order import placed
+from kintrace.sources.shared import cut
 
 SEED = "20260827"
 
@@ -34,20 +35,22 @@ def match_children(children: DataFrame, filings: DataFrame) -> DataFrame:
 def permuted(families: DataFrame, permutations: int) -> DataFrame:
     """(perm, fam, other): each family with the filing of another, by seeded shuffles; fixed points are left out.
 
-    One row per family and permutation; a permutation's order is a window of its own.
+    One row per family and permutation; places come from ranges of (permutation, digest).
     """
-    perms = families.select("fam", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    plain = Window.partitionBy("perm").orderBy("fam")
-    mixed = Window.partitionBy("perm").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), F.col("perm").cast("string"), F.col("fam").cast("string")).cast("binary")), "fam")
-    a = perms.withColumn("rn", F.row_number().over(plain))
-    b = perms.select("perm", F.col("fam").alias("other"), F.row_number().over(mixed).alias("rn"))
-    return a.join(b, ["perm", "rn"]).filter("fam <> other").select("perm", "fam", "other")
+    every = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
+    fams = cut(families.select("fam"), "fams")
+    a = placed(fams, [F.col("fam")]).select("fam", "pos", every)
+    digest = F.md5(F.concat_ws("|", F.lit(SEED), F.col("perm").cast("string"), F.col("other").cast("string")).cast("binary"))
+    b = placed(fams.select(F.col("fam").alias("other"), every).withColumn("h", digest), [F.col("h"), F.col("other")], ["perm"]).select("perm", "other", "pos")
+    return a.join(b, ["perm", "pos"]).filter("fam <> other").select("perm", "fam", "other")
 
 
 def next_size(families: DataFrame) -> DataFrame:
     """(fam, other): the next larger filing of (fam, n), the one before for the last."""
-    w = Window.orderBy("n", "fam")
-    return families.select("fam", F.coalesce(F.lead("fam").over(w), F.lag("fam").over(w)).alias("other")).filter("other is not null")
+    at = cut(placed(families.select("n", "fam"), [F.col("n"), F.col("fam")]).select("fam", "pos"), "places")
+    size = at.agg(F.max("pos").alias("last"))
+    wanted = at.crossJoin(F.broadcast(size)).select("fam", F.when(F.col("pos") < F.col("last"), F.col("pos") + 1).otherwise(F.col("pos") - 1).alias("pos"))  # one row
+    return wanted.join(at.select(F.col("fam").alias("other"), "pos"), "pos").select("fam", "other")
 
 
 def against(children: DataFrame, filings: DataFrame, partner: DataFrame) -> DataFrame:
@@ -62,5 +65,5 @@ def against(children: DataFrame, filings: DataFrame, partner: DataFrame) -> Data
 
 def rank_correlation(rows: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """Spearman's rho over ordinal ranks, ties in the order of ``tie``."""
-    rx, ry = F.row_number().over(Window.orderBy(x, tie)), F.row_number().over(Window.orderBy(y, tie))
-    return rows.select(rx.alias("rx"), ry.alias("ry")).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    one = placed(rows.select(x, y, tie), [F.col(x), F.col(tie)]).withColumnRenamed("pos", "rx")
+    return placed(one, [F.col(y), F.col(tie)]).withColumnRenamed("pos", "ry").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))

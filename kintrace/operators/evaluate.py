@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kintrace.functions.text import f1
 from kintrace.operators.graph import connected_components
+from kintrace.operators.order import placed
 
 
 def candidate_thresholds(val: DataFrame) -> DataFrame:
@@ -41,8 +42,8 @@ def confusion(tested: DataFrame, *by: str) -> DataFrame:
 def average_precision(rows: DataFrame) -> DataFrame:
     """(scorer, ap): tied scores count as one step, so the order of rows does not matter."""
     steps = rows.groupBy("scorer", "score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("scorer").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w)).withColumn("all_p", F.sum("p").over(Window.partitionBy("scorer")))
+    run = placed(steps, [F.col("score").desc()], ["scorer"], ["p", "n"]).withColumnsRenamed({"run_p": "tp", "run_n": "seen"})
+    run = run.join(F.broadcast(rows.groupBy("scorer").agg(F.sum("label").alias("all_p"))), "scorer")
     return run.groupBy("scorer").agg(F.sum(F.coalesce(F.try_divide(F.col("tp") / F.col("seen") * F.col("p"), F.col("all_p")), F.lit(0.0))).alias("ap"))
 
 

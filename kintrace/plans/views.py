@@ -183,13 +183,20 @@ view("neg_random", "parents quotas", f"""SELECT split, uei, puei, rn FROM (SELEC
   SELECT c.split, c.uei, p.puei, min({_draw('random')}) AS h FROM positives c CROSS JOIN range(4) t(i) JOIN quotas USING (split)
   JOIN parents p ON p.split = c.split AND p.rk = cast('0x' || substr({_draw('random', 'i')}, 1, 8) AS BIGINT) % p.n_parents
   WHERE p.puei <> c.puei AND p.puei <> c.uei GROUP BY c.split, c.uei, p.puei)) JOIN quotas USING (split) WHERE rn <= quota""")
-view("pool_hard", "parents quotas neg_random", f"""SELECT DISTINCT c.split, c.uei, p.puei, {_draw('hard_string')} AS h
-  FROM (SELECT *, unnest({core('name')}) AS t FROM positives) c JOIN quotas USING (split) JOIN (SELECT *, unnest({core('pname')}) AS t FROM parents) p ON p.split = c.split AND p.t = c.t
-  WHERE p.puei <> c.puei AND p.puei <> c.uei AND NOT EXISTS (SELECT 1 FROM neg_random n WHERE n.uei = c.uei AND n.puei = p.puei)""")
+def _drawn(kind: str, keys) -> None:
+    """Views of a child's keys that parents have and of the partners drawn by them."""
+    view(f"held_{kind}", "parents", f"SELECT split, puei, t, row_number() OVER (PARTITION BY split, t ORDER BY puei) - 1 AS rk, count(*) OVER (PARTITION BY split, t) AS n FROM (SELECT split, puei, unnest({keys('pname')}) AS t FROM parents)")
+    view(f"keys_{kind}", f"quotas held_{kind}", f"SELECT c.split, c.uei, c.puei, list({{'t': t, 'n': n}} ORDER BY t) AS ts FROM (SELECT split, uei, puei, unnest({keys('name')}) AS t FROM positives JOIN quotas USING (split)) c JOIN (SELECT DISTINCT split, t, n FROM held_{kind}) USING (split, t) GROUP BY c.split, c.uei, c.puei")
+    view(f"drawn_{kind}", f"keys_{kind}", f"""SELECT DISTINCT c.split, c.uei, p.puei, {_draw(kind)} AS h
+  FROM (SELECT *, ts[cast('0x' || substr(d, 1, 8) AS BIGINT) % len(ts) + 1] AS x FROM (SELECT c.*, {_draw(kind, 'i')} AS d FROM keys_{kind} c CROSS JOIN range(16) t(i))) c
+  JOIN held_{kind} p ON p.split = c.split AND p.t = c.x.t AND p.rk = cast('0x' || substr(d, 9, 8) AS BIGINT) % c.x.n WHERE p.puei <> c.puei AND p.puei <> c.uei""")
+
+
+_drawn("hard_string", core)
+_drawn("same_block", lambda c: f"[{block_key(c)}]")
+view("pool_hard", "drawn_hard_string neg_random", "SELECT * FROM drawn_hard_string d WHERE NOT EXISTS (SELECT 1 FROM neg_random n WHERE n.uei = d.uei AND n.puei = d.puei)")
 view("neg_hard", "pool_hard", "SELECT split, uei, puei, rn FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY h, uei, puei) AS rn FROM pool_hard) JOIN quotas USING (split) WHERE rn <= quota")
-view("pool_block", "parents quotas neg_hard", f"""SELECT c.split, c.uei, p.puei, {_draw('same_block')} AS h
-  FROM (SELECT *, {block_key('name')} AS k FROM positives) c JOIN quotas USING (split) JOIN (SELECT *, {block_key('pname')} AS k FROM parents) p ON p.split = c.split AND p.k = c.k
-  WHERE p.puei <> c.puei AND p.puei <> c.uei AND NOT EXISTS (SELECT 1 FROM neg_random n WHERE n.uei = c.uei AND n.puei = p.puei) AND NOT EXISTS (SELECT 1 FROM neg_hard n WHERE n.uei = c.uei AND n.puei = p.puei)""")
+view("pool_block", "drawn_same_block neg_hard", "SELECT * FROM drawn_same_block d WHERE NOT EXISTS (SELECT 1 FROM neg_random n WHERE n.uei = d.uei AND n.puei = d.puei) AND NOT EXISTS (SELECT 1 FROM neg_hard n WHERE n.uei = d.uei AND n.puei = d.puei)")
 view("neg_block", "pool_block", "SELECT split, uei, puei, rn FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY h, uei, puei) AS rn FROM pool_block) JOIN quotas USING (split) WHERE rn <= quota")
 view("pairs", "neg_random neg_hard neg_block", f"""SELECT uei AS left_uei, name AS left_name, puei AS right_uei, pname AS right_name, 1 AS label, cast(NULL AS VARCHAR) AS kind, vis, puei AS family, split, obligated FROM positives
   UNION ALL SELECT n.uei, c.name, n.puei, p.pname, 0, n.kind, {visibility('c.name', 'p.pname')}, NULL, n.split, c.obligated

@@ -123,3 +123,49 @@ def test_stream(spark, tmp_path):
     s = spark.readStream.schema("uei long, puei long, amount double, day date").parquet(str(tmp_path / "in"))
     stream.start(stream.running_pair_counts(s), "counts", str(tmp_path / "cp")).awaitTermination()
     assert rows(spark.table("counts")) == [(1, 2, 2, 11.0, datetime.date(2020, 1, 1))]
+
+
+def test_placed_counts_and_sums_within_groups(spark):
+    from pyspark.sql import functions as F
+
+    from kintrace.operators.order import placed
+
+    data = [(g, i, (i * 7 + len(g or "")) % 11) for g in ("a", "bb", None) for i in range(0 if g == "bb" else 500)] + [("bb", 1, 5)]
+    got = placed(spark.createDataFrame(data, "g string, i long, v long").repartition(7), [F.col("v").desc(), F.col("i")], ["g"], ["v"])
+    want = []
+    for g in ("a", "bb", None):
+        total = 0
+        for place, (_, i, v) in enumerate(sorted((r for r in data if r[0] == g), key=lambda r: (-r[2], r[1])), 1):
+            total += v
+            want.append((g, i, v, place, total))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    empty = spark.createDataFrame([], "g string, i long, v long")
+    assert placed(empty, [F.col("i")], ["g"], ["v"]).columns == ["g", "i", "v", "pos", "run_v"] and placed(empty, [F.col("i")]).count() == 0
+
+
+def test_split_of_many_equal_sizes_by_plain_fold(spark, monkeypatch):
+    from kintrace.operators import benchmark
+
+    monkeypatch.setattr(benchmark, "CHUNK", 16)
+    sizes = [(i, 1 + (i % 3 == 0) + 40 * (i % 50 == 0)) for i in range(1, 301)]
+    total = float(sum(n for _, n in sizes))
+    wants, filled, want = [s * total for _, s in benchmark.SHARES], [0.0] * 3, {}
+    for c, n in sorted(sizes, key=lambda r: (-r[1], r[0])):
+        lacks = [(w - f) / w for w, f in zip(wants, filled)]
+        best = lacks.index(max(lacks))
+        filled[best] += n
+        want[c] = benchmark.SHARES[best][0]
+    assert dict(map(tuple, benchmark.split_components(spark.createDataFrame(sizes, "component long, size long")).collect())) == want
+
+
+def test_nearest_takes_ties_by_id(spark):
+    import numpy as np
+
+    from kintrace.operators.blocking import nearest
+
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-1, 2, (60, 4)).astype(float)
+    got = nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"), k=5, block=16)
+    sims = vectors @ vectors.T
+    want = {(x, y, r) for x in range(60) for r, y in enumerate(sorted((y for y in range(60) if y != x), key=lambda y: (-sims[x, y], y))[:5], 1)}
+    assert {(r["x"], r["y"], r["rank"]) for r in got.collect()} == want
