@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ UNKNOWN = "und"
 
 #: Words from which on a text's path is found in blocks.
 LONG_TEXT = 1_000
-ASCII_LETTERS = re.compile(r"[a-z]+")
+#: A blank for every code point of one byte that is no letter; none of them is a mark.
+ONE_BYTE = bytes(c if unicodedata.category(chr(c))[0] == "L" else 0x20 for c in range(256))
 
 
 @cache
@@ -57,7 +59,10 @@ def _letters() -> re.Pattern:
 def words_of(text: str) -> list[str]:
     """The words of a text, in lower case."""
     text = text.lower()
-    return (ASCII_LETTERS if text.isascii() else _letters()).findall(text)
+    try:
+        return text.encode("latin-1").translate(ONE_BYTE).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _letters().findall(text)
 
 
 #: First and last code point, script.
@@ -155,11 +160,49 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, index, log.astype("f4"), near)
 
 
+class Numbers(dict):
+    """Numbers of words by first use; ``new`` holds those not scored yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
+class Runs:
+    """Rows of the n-grams of one length, looked up for many words at once."""
+
+    def __init__(self, model: Model, length: int):
+        mine = [g for g in model.index if len(g) == length]
+        keys = self.pack(np.array([[ord(c) for c in g] for g in mine], "i8").reshape(len(mine), length).T)
+        order = np.argsort(keys)
+        self.keys, self.rows = keys[order], np.array([model.index[g] for g in mine], "i8")[order]
+        self.rest = len(model.table) - 1
+
+    @staticmethod
+    def pack(codes: np.ndarray) -> np.ndarray:
+        """21 bits hold any code point."""
+        out = codes[0]
+        for c in codes[1:]:
+            out = out << 21 | c
+        return out
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), self.rest)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.rows[at], self.rest)
+
+
 class Scorer:
     """Scores of words, remembered; words are numbered by first use."""
 
     def __init__(self, model: Model):
-        self.model, self.number = model, {}
+        self.model, self.number = model, Numbers()
+        self.two, self.three = Runs(model, 2), Runs(model, 3)
         #: scripts that only some languages use, and whether the plain Latin one is known at all
         self.partial = {s: near for s, near in model.scripts.items() if near and len(near) < len(model.langs)}
         self.common = bool(model.scripts.get("latin"))
@@ -168,10 +211,7 @@ class Scorer:
     def score(self, words: list[str]) -> np.ndarray:
         """A row per word, 0 for its best language."""
         m = self.model
-        rest, known = len(m.table) - 1, m.index.get
-        found = [[known(g, rest) for g in grams(w)] for w in words]
-        starts = np.cumsum([0] + [len(f) for f in found[:-1]])
-        out = np.add.reduceat(m.table[[i for f in found for i in f]], starts, axis=0)
+        out = np.add.reduceat(m.table[self.rows_of(words)], self.starts(words), axis=0)
         for script, near in self.partial.items():
             mine = [i for i, w in enumerate(words) if script_of(w) == script]
             far = np.setdiff1d(np.arange(len(m.langs)), near)
@@ -182,21 +222,44 @@ class Scorer:
             out[[i for i, w in enumerate(words) if ord(w[0]) > 0x24F and not m.scripts.get(script_of(w))]] = 0.0
         return out - out.max(1, keepdims=True)
 
+    @staticmethod
+    def starts(words: list[str]) -> np.ndarray:
+        """Where the n-grams of each word begin: a word of n characters has n of three, n + 1 of two, and itself if n > 1."""
+        n = np.fromiter(map(len, words), "i8", len(words))
+        many = 2 * n + 1 + (n > 1)
+        return np.cumsum(many) - many
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """The table's rows of the ``grams`` of all words, word after word."""
+        codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), "<u4").astype("i8")
+        n = np.fromiter(map(len, words), "i8", len(words))
+        size, starts = n + 2, self.starts(words)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+        left = np.repeat(size, size) - place  # characters from here to the word's end
+        begin = np.repeat(starts, size) + place
+        out = np.empty(int(starts[-1] + 2 * n[-1] + 1 + (n[-1] > 1)), "i8")
+        three, two = np.flatnonzero(left >= 3), np.flatnonzero(left >= 2)
+        out[begin[three]] = self.three.find(Runs.pack([codes[three], codes[three + 1], codes[three + 2]]))
+        out[begin[two] + np.repeat(n, size)[two]] = self.two.find(Runs.pack([codes[two], codes[two + 1]]))
+        whole = np.flatnonzero(n > 1)
+        known, rest = self.model.index.get, self.two.rest
+        out[(starts + 2 * n + 1)[whole]] = [known(f"<{words[i]}>", rest) for i in whole]
+        return out
+
     def scores_of(self, texts: list[list[str]]) -> np.ndarray:
         """A row per word of all texts."""
         known = self.number
         if len(known) > MEMO_WORDS:
             known.clear()
-        new = list(set().union(*texts) - known.keys())
-        if new:
-            first = len(known)
-            known.update(zip(new, range(first, first + len(new)), strict=True))
-            while len(known) > len(self.scores):
-                self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-            for k in range(0, len(new), 5_000):
-                part = new[k : k + 5_000]
-                self.scores[first + k : first + k + len(part)] = self.score(part)
-        return self.scores[np.fromiter((known[w] for words in texts for w in words), "i4")]
+        numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), "i4", sum(map(len, texts)))
+        new, known.new = known.new, []
+        first = len(known) - len(new)
+        while len(known) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+        for k in range(0, len(new), 5_000):
+            part = new[k : k + 5_000]
+            self.scores[first + k : first + k + len(part)] = self.score(part)
+        return self.scores[numbers]
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
@@ -315,10 +378,9 @@ def detect(df: DataFrame, model: Model, text_col: str = "text", penalty: float =
                     texts = [[] for _ in texts]
                 sizes = np.array([len(w) for w in texts], "i8")
                 path = viterbi(scorer.scores_of(texts), sizes, penalty)
-                letters = np.fromiter((len(w) for words in texts for w in words), "i8", int(sizes.sum()))
-                doc = np.repeat(np.arange(len(texts)), sizes)
-                share = np.zeros((len(texts), max(1, len(langs))))
-                np.add.at(share, (doc, path), letters)
+                letters = np.fromiter(map(len, chain.from_iterable(texts)), "i8", int(sizes.sum()))
+                doc, wide = np.repeat(np.arange(len(texts)), sizes), max(1, len(langs))
+                share = np.bincount(doc * wide + path, letters, len(texts) * wide).reshape(len(texts), wide)
                 total = share.sum(1)
                 top = share.argmax(1)
                 found = [langs[k] if n else UNKNOWN for k, n in zip(top, total, strict=True)]

@@ -638,3 +638,22 @@ def test_queries_registered(spark):
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries()
+
+
+def test_rows_of_words_are_those_of_their_grams():
+    from kintrace.llm import langid
+
+    rng = random.Random(5)
+    words = ["a", "ab", "ß", "हिन्दी", "𝔘𝔫", *["".join(rng.choice("abcäб𝔘") for _ in range(rng.randint(1, 9))) for _ in range(400)]]
+    index = {g: i for i, g in enumerate(sorted({g for w in words[::2] for g in langid.grams(w)}))}
+    scorer = langid.Scorer(langid.Model(["x"], index, np.zeros((len(index) + 1, 1), "f4"), {}))
+    assert scorer.rows_of(words).tolist() == [index.get(g, len(index)) for w in words for g in langid.grams(w)]
+
+
+def test_words_of_one_byte_texts_are_those_of_the_general_pattern():
+    from kintrace.llm import langid
+
+    rng = random.Random(6)
+    for _ in range(2000):
+        text = "".join(chr(rng.choice([rng.randrange(256), 97, 32, 0x300 if rng.random() < 0.1 else 65])) for _ in range(25))
+        assert langid.words_of(text) == langid._letters().findall(text.lower())
