@@ -19,7 +19,7 @@ SHARES = (("train", 0.6), ("val", 0.2), ("test", 0.2))
 #: Splits of components of one size in a string of the fold.
 CHUNK = 65536
 #: Partners drawn for each child: of all parents, and of those that share a token or block key.
-RANDOM_DRAWS, DRAWS = 4, 16
+RANDOM_DRAWS, DRAWS = 4, 60
 APART = "puei <> own and puei <> uei"
 
 

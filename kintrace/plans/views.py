@@ -188,7 +188,7 @@ def _drawn(kind: str, keys) -> None:
     view(f"held_{kind}", "parents", f"SELECT split, puei, t, row_number() OVER (PARTITION BY split, t ORDER BY puei) - 1 AS rk, count(*) OVER (PARTITION BY split, t) AS n FROM (SELECT split, puei, unnest({keys('pname')}) AS t FROM parents)")
     view(f"keys_{kind}", f"quotas held_{kind}", f"SELECT c.split, c.uei, c.puei, list({{'t': t, 'n': n}} ORDER BY t) AS ts FROM (SELECT split, uei, puei, unnest({keys('name')}) AS t FROM positives JOIN quotas USING (split)) c JOIN (SELECT DISTINCT split, t, n FROM held_{kind}) USING (split, t) GROUP BY c.split, c.uei, c.puei")
     view(f"drawn_{kind}", f"keys_{kind}", f"""SELECT DISTINCT c.split, c.uei, p.puei, {_draw(kind)} AS h
-  FROM (SELECT *, ts[cast('0x' || substr(d, 1, 8) AS BIGINT) % len(ts) + 1] AS x FROM (SELECT c.*, {_draw(kind, 'i')} AS d FROM keys_{kind} c CROSS JOIN range(16) t(i))) c
+  FROM (SELECT *, ts[cast('0x' || substr(d, 1, 8) AS BIGINT) % len(ts) + 1] AS x FROM (SELECT c.*, {_draw(kind, 'i')} AS d FROM keys_{kind} c CROSS JOIN range(60) t(i))) c
   JOIN held_{kind} p ON p.split = c.split AND p.t = c.x.t AND p.rk = cast('0x' || substr(d, 9, 8) AS BIGINT) % c.x.n WHERE p.puei <> c.puei AND p.puei <> c.uei""")
 
 
