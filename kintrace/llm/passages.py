@@ -562,10 +562,11 @@ def _agreeing(windows: DataFrame, width: int) -> DataFrame:
 def _in_blocks(src: DataFrame, open_: DataFrame, width: int, least: float) -> DataFrame:
     """Passages of the open windows of each group (x, y) with windows of the group that have another label, block by block.
 
-    Windows with equal text around their centres take part once.
+    A window is compared over all places that it shares with those of the other
+    hashes: a passage of less than twice the width may hold none shorter, wherever
+    its centre is. Windows of equal text take part once.
     """
-    reach = width + width // 4
-    spots = open_.groupBy("id", "centre").agg(F.min("label").alias("label")).select("id", "centre", "label", F.greatest(F.lit(0), F.col("centre") - reach).alias("first"), (F.col("centre") + reach).alias("last"))
+    spots = open_.groupBy("id", "centre").agg(F.min("label").alias("label"), F.min("first").alias("first"), F.max("last").alias("last"))
     spots = cut(spots.withColumn("pair", F.monotonically_increasing_id()), "spots")
     sketches = _pieces(src, spots.select("id", "pair", F.lit(0).alias("side"), "first", "last"), _sketch(width)).select("pair", F.substring("items", 1, 16).alias("digest"), F.col("items").alias("sketch"))
     told = cut(spots.join(sketches, "pair").drop("pair"), "sketches")
@@ -612,15 +613,16 @@ def _shared_windows(src: DataFrame, reps: DataFrame, width: int, hashes: range)
     return out
 
 
-def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILARITY, texts_apart: bool = False) -> DataFrame:
     """Verified pairs of near-duplicate passages: p, p_first, p_words, q, q_first, q_words, similarity.
 
     Passages have ``words`` words or more, places count from 0 in words, and the
-    Jaccard value of their five-word shingles is ``least`` or more; p <= q, and
-    p = q for passages of one document that do not overlap. A null text and one
-    of fewer words have no passage; rows with a null id are left out; rows that
-    share an id are texts of one document, of which the least by hash is taken.
-    Ids are cast to long. Extra columns are not carried.
+    Jaccard value of their five-word shingles is ``least`` or more; p <= q.
+    Repeats inside one text are not looked for. A null text and one of fewer
+    words have no passage; rows with a null id are left out; rows that share an
+    id are texts of one document, of which the least by hash is taken or, with
+    ``texts_apart``, each: places then count in one of its texts, and p = q where
+    two of its own meet. Ids are cast to long. Extra columns are not carried.
 
     Repeats among many documents are tied to representatives: ``components`` of
     the pairs gives every document its class, and every document with a repeat is
@@ -641,7 +643,16 @@ def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = cut(src.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), n_words.alias("n")), "digests")
     several = digests.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("h1", "h2", "n")).alias("one"))
     again = cut(several.filter("rows > 1").select("id", "one.h1", "one.h2", "one.n"), "again")
-    if not again.isEmpty():
+    own = None
+    if texts_apart and not again.isEmpty():
+        # ids of several rows: each of their texts under a key of its own
+        rows = digests.join(again.select("id"), "id").distinct()
+        rows = rows.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("id")))
+        own = cut(rows.select("id", "h1", "h2", "n", F.when(F.col("texts") == 1, F.col("id")).otherwise(F.xxhash64("id", "h1", "h2")).alias("key")), "own")
+        digests = cut(digests.join(again, "id", "left_anti").union(own.select("key", "h1", "h2", "n")), "digests")
+        mine = src.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}).join(own, ["id", "h1", "h2"])
+        src = cut(src.join(again, "id", "left_anti").union(mine.select("key", "text").dropDuplicates(["key"])), "texts")
+    elif not again.isEmpty():
         # ids of several rows: one row each
         digests = cut(digests.join(again, "id", "left_anti").union(again.select("id", "h1", "h2", "n")), "digests")
         mine = src.join(again.withColumnRenamed("n", "_n"), "id")
@@ -674,12 +685,20 @@ def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near = near.union(_in_blocks(src, open_, width, least))
     discard(spark, kept._cut_path)
     zero = F.lit(0).cast("long")
-    return near.union(copies.select("p", zero, "n", "q", zero, "n", F.lit(1.0)))
+    near = near.union(copies.select("p", zero, "n", "q", zero, "n", F.lit(1.0)))
+    if own is None:
+        return near
+    keys = own.filter("key <> id").select("key", F.col("id").alias("of"))
+    for side in ("p", "q"):
+        near = near.join(keys, F.col(side) == F.col("key"), "left").withColumn(side, F.coalesce("of", side)).drop("key", "of")
+    ends = [F.struct(*[F.col(f"{s}{c}").alias(f"p{c}") for c in ("", "_first", "_words")]) for s in ("p", "q")]
+    near = near.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"), "similarity")
+    return near.select("a.*", *[F.col(f"b.p{c}").alias(f"q{c}") for c in ("", "_first", "_words")], "similarity")
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each end of each pair, with the component of its document: one that has no row has no near-duplicate passage."""
-    found = cut(near_passages(documents(spark, sf_dir)).distinct(), "passages")
+    found = cut(near_passages(documents(spark, sf_dir), texts_apart=True).distinct(), "passages")
     one = found.select(F.col("p").alias("doc_id"), F.col("p_first").alias("first_word"), F.col("p_words").alias("n_words"), F.col("q").alias("other_doc_id"), F.col("q_first").alias("other_first_word"), F.col("q_words").alias("other_n_words"), "similarity")
     one = one.union(found.select("q", "q_first", "q_words", "p", "p_first", "p_words", "similarity"))
     return one.join(components(found).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id")

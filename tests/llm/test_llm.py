@@ -489,6 +489,33 @@ def test_passages_of_one_id(spark):
     assert len(near) == 1 and near[0].p == 1 and near[0].q in (2, 3)
 
 
+def test_passages_of_texts_apart(spark):
+    """Each text of an id is looked at: documents that meet different texts of it are one component."""
+    rng = random.Random(44)
+    a, b, c = (words(rng, 70, 5000) for _ in range(3))
+    df = documents(spark, [a, b, a, b, a, c, c + " more", c, c], ids=[1, 1, 2, 3, 1, 5, 5, 7, 7])
+    near = passages.near_passages(df, texts_apart=True).collect()
+    assert {(r.p, r.q) for r in near} >= {(1, 2), (1, 3), (5, 7)} and all(r.p <= r.q and r.similarity >= 0.8 for r in near)
+    label = {r.node: r.component for r in passages.components(passages.near_passages(df, texts_apart=True)).collect()}
+    assert label == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5}
+
+
+def test_windows_compared_whole(spark):
+    """A passage of 80 shingles with its centre at the start, cut short it is below 0.8: both windows are compared over all of it."""
+    rng = random.Random(45)
+    passage = words(rng, 84, 50_000).split()
+    other = list(passage)
+    other[28] = other[31] = "changed"  # 8 of 80 shingles differ: 72 / 88, and less over the first 62 or any 46 of them
+    texts = [" ".join(words(rng, 30, 50_000).split() + t + words(rng, 30, 50_000).split()) for t in (passage, other)]
+    a, b = (_shingles(" ".join(t)) for t in (passage, other))
+    assert 5 * len(a & b) >= 4 * len(a | b)
+    window = lambda i, label: (1, 2, i, 34, 30, 109, label, i == 1)
+    open_ = spark.createDataFrame([window(0, 0), window(1, 1)], "x long, y long, id long, centre int, first int, last int, label long, open boolean")
+    src = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = passages._in_blocks(src, open_, 46, 0.8).collect()
+    assert [(r.p, r.q) for r in got] == [(0, 1)]
+
+
 def test_repeating_shingles():
     rng = np.random.default_rng(47)
     base = rng.integers(1, 2**60, 70).astype("u8")
