@@ -535,6 +535,46 @@ def test_cartesian():
             assert before[i] == max(j for j in range(i) if v[j] <= x) and after[i] == min(j for j in range(i + 1, len(v)) if v[j] < x)
 
 
+def test_vectors_in_cells(spark, monkeypatch):
+    """Cells, of which some have several shards and parts, give the links and components of brute force."""
+    for name, value in (("CELLS_FROM", 100), ("SHARD_ROWS", 60), ("VISIT", 1), ("ROUTE_AUDIT", 2_000), ("ROUTE_RECALL", 1.0)):
+        monkeypatch.setattr(hnsw, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 16))
+    v = np.concatenate([base[rng.integers(30, size=500)] + rng.normal(size=(500, 16)) * 0.15, base[0] + rng.normal(size=(200, 16)) * 0.1]).astype("f4")
+    v[690:] = v[0]
+    rows = [(i + 5, x.tolist()) for i, x in enumerate(v)] + [(1, [1.0, 2.0]), (2, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = {r.id: r for r in hnsw.similar_vectors(df).collect()}
+    unit = v.astype("f8") / np.linalg.norm(v.astype("f8"), axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = np.arange(len(v))
+    for _ in range(len(v)):
+        label = np.minimum(label, np.where(near, label[None], len(v)).min(1))
+    assert [out[i + 5].n_links for i in range(len(v))] == near.sum(1).tolist() and [out[i].n_links for i in (1, 2)] == [1, 1]
+    assert [out[i + 5].component_id for i in range(len(v))] == (label + 5).tolist()
+
+
+def test_vectors_in_bounded_memory():
+    """A shard in which all vectors are links holds a bounded number of pairs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=8) + rng.normal(size=(4_000, 8)) * 0.01
+    n = len(v)
+    table = pa.table({"dim": pa.array(np.full(n, 8, "i4")), "shard": pa.array(np.zeros(n, "i4")), "rep": np.arange(n), "n": np.ones(n, "i8"), "v": pa.array(v.tolist())})
+    graphs = hnsw._build_shard(table)
+    tracemalloc.start()
+    got = hnsw._query_shard(0.9)(graphs, table.select(["dim", "rep", "v"])).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[got.n > 0].n == n - 1).all() and len(got[got.rep != got.to]) == n - 1
+    assert peak < 150 << 20
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
