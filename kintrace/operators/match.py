@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kintrace.functions.text import char_ngrams, core, digits, exact_score, jaccard, norm, norm_address, zip5
 from kintrace.functions.udfs import seqratio
+from kintrace.sources.shared import cut
 
 NAME_FEATURES = ["tfidf", "jaccard", "exact_name"]
 ATTRIBUTE_FEATURES = ["both_have_addr", "same_address", "same_city", "same_state", "same_zip5", "same_phone", "dba_hit"]
@@ -39,6 +42,83 @@ def tfidf(pairs: DataFrame, idf: DataFrame, left: str = "left_name", right: str
     return out.select("a", "b", F.round(F.coalesce(F.try_divide("dot", F.col("sa") * F.col("sb")), F.lit(0.0)), 9).alias("tfidf"))
 
 
+#: Names of a block, and grams multiplied at once: a task holds two blocks of so many columns.
+BLOCK, COLUMNS = 2_048, 2_048
+
+
+def _compared(least: float, columns: int):
+    """What a task does; it names nothing of this package, which executors need not have."""
+
+    def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Edges to the least member of its component for the other nodes of the graph (a, b) over n nodes."""
+        low = np.arange(n)
+        while True:
+            new = low.copy()
+            np.minimum.at(new, a, low[b])
+            np.minimum.at(new, b, low[a])
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        up = np.flatnonzero(low != np.arange(n))
+        return up, low[up]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A forest over the names of two blocks whose cosine, to nine decimals, is ``least`` or more."""
+        if not left.num_rows or not right.num_rows:
+            none = left.column("id")[:0]
+            return pa.table({"a": none, "b": none})
+        sides = []
+        for t in (left, right):
+            grams, weights = t.column("gs").combine_chunks(), t.column("ws").combine_chunks()
+            rows = np.repeat(np.arange(t.num_rows), np.diff(grams.offsets.to_numpy()))
+            sides.append((rows, grams.flatten(), weights.flatten().to_numpy()))
+        codes = pa.chunked_array([s[1] for s in sides]).combine_chunks().dictionary_encode()
+        places = codes.indices.to_numpy()
+        cut_ = len(sides[0][0])
+        one, two = (sides[0][0], places[:cut_], sides[0][2]), (sides[1][0], places[cut_:], sides[1][2])
+        sims = np.zeros((left.num_rows, right.num_rows))
+        for at in range(0, len(codes.dictionary), columns):
+            dense = []
+            for (rows, cols, w), n in ((one, left.num_rows), (two, right.num_rows)):
+                mine = (cols >= at) & (cols < at + columns)
+                x = np.zeros((n, columns))
+                x[rows[mine], cols[mine] - at] = w[mine]
+                dense.append(x)
+            sims += dense[0] @ dense[1].T
+        i, j = np.nonzero(np.round(sims, 9) >= least)
+        ids = pa.chunked_array([*left.column("id").chunks, *right.column("id").chunks])
+        nodes, at = np.unique(ids.to_numpy(), return_inverse=True)
+        a, b = spanning(at[i], at[left.num_rows + j], len(nodes))
+        return pa.table({"a": pa.array(nodes[a], ids.type), "b": pa.array(nodes[b], ids.type)})
+
+    return run
+
+
+def cosine_forest(entities: DataFrame, idf: DataFrame, least: float) -> DataFrame:
+    """(a, b): edges that join the entities (uei, name) to the components that all pairs with a tf-idf cosine of ``least`` or more make.
+
+    Every two distinct names are compared, block against block, in double
+    precision; a task puts out a forest over its two blocks, so that what is
+    written grows with names and blocks, not with pairs. Weights are those of ``tfidf``.
+    """
+    reps = entities.filter("name is not null").groupBy("name").agg(F.min("uei").alias("id"))
+    grams = reps.select("name", F.explode(char_ngrams(F.col("name"))).alias("g")).groupBy("name", "g").agg(F.count(F.lit(1)).alias("tf"))
+    w = grams.join(idf, "g", "left").select("name", "g", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
+    rows = w.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.collect_list(F.struct("g", "w")).alias("x")).filter("size > 0")
+    rows = rows.join(reps, "name").select("name", "id", F.col("x.g").alias("gs"), F.transform("x.w", lambda v: v / F.col("size")).alias("ws"))
+    rows = cut(rows, "weights")
+    kind, n = entities.schema["uei"].dataType.simpleString(), max(1, -(-rows.count() // BLOCK))
+    mine = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    body = rows.select("id", "gs", "ws", mine.alias("k"))
+    # a block is on the left against itself and those after it
+    left = body.select("id", "gs", "ws", F.col("k").alias("i"), F.explode(F.sequence("k", F.lit(n - 1))).alias("j"))
+    right = body.select("id", "gs", "ws", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"))
+    forest = cut(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_compared(least, COLUMNS), f"a {kind}, b {kind}"), "forest")
+    same = entities.join(rows.select("name", "id"), "name").filter("uei <> id")
+    return forest.union(same.select("uei", "id")).distinct()
+
+
 def train_names(pairs: DataFrame) -> DataFrame:
     train = pairs.filter("split = 'train'")
     return train.select(F.col("left_name").alias("name")).union(train.select("right_name"))

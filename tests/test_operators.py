@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from kintrace.operators import benchmark, blocking, corroborate, evaluate, graph, links
+from kintrace.operators import benchmark, blocking, corroborate, evaluate, graph, links, match
 from kintrace.sources import readers
 from kintrace.streaming import links as stream
 
@@ -169,3 +169,20 @@ def test_nearest_takes_ties_by_id(spark):
     sims = vectors @ vectors.T
     want = {(x, y, r) for x in range(60) for r, y in enumerate(sorted((y for y in range(60) if y != x), key=lambda y: (-sims[x, y], y))[:5], 1)}
     assert {(r["x"], r["y"], r["rank"]) for r in got.collect()} == want
+
+
+def test_cosine_forest(spark, monkeypatch):
+    """Blocks of few names and columns give the components of all pairs, none of which is written."""
+    monkeypatch.setattr(match, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(match, "COLUMNS", 40, raising=False)
+    rng = random.Random(3)
+    stems = ["acme tool", "borel mining", "cobalt works", "delta foods"]
+    names = [rng.choice(stems) + " " + "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    e = spark.createDataFrame([(f"u{i:03}", n) for i, n in enumerate([*names, names[0], names[1], "zz", "zz"])] + [("null", None)], "uei string, name string")
+    idf = match.fit_idf(e.filter("uei < 'u040'"))
+    pairs = e.alias("x").join(e.alias("y"), F.col("x.uei") < F.col("y.uei")).selectExpr("x.uei as a", "y.uei as b", "x.name as left_name", "y.name as right_name").filter("left_name is not null and right_name is not null")
+    scores = match.tfidf(pairs, idf).select(F.col("a").alias("left_name"), F.col("b").alias("right_name"), "tfidf")
+    want = evaluate.clusters(e, pairs.join(scores, ["left_name", "right_name"]).filter("tfidf >= 0.6"))
+    forest = match.cosine_forest(e, idf, 0.6)
+    assert rows(evaluate.clusters(e, forest)) == rows(want) and 1 < want.select("cluster").distinct().count() < 60
+    assert forest.count() < 8 * 64
