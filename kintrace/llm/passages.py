@@ -2,17 +2,18 @@
 
 Under one hash of its five-word shingles, all subsequences of a document that
 share their least hash form a compact window: a node of the Cartesian tree over
-the hashes, with the stretch in which it is the least. Documents whose windows
-meet under one value are joined, and where the intervals of two or more hashes
-agree, the passages are compared shingle by shingle.
+the hashes, with the stretch in which it is the least. Windows are taken only
+from stretches in which enough shingles stand in another text too. Documents
+whose windows meet under one value are joined, and where the intervals of two or
+more hashes agree, the passages are compared shingle by shingle.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from .suffix import _sliding
 SHINGLE, WORDS = 5, 50
 #: Hashes, and those that must agree: a passage at 0.8 has fewer than two of eight with probability 8e-5, an exact one never.
 HASHES, AGREE = 8, 2
-#: Hashes whose windows lie on disk at once.
-AT_ONCE = 2
+#: Shingles of a part in which those of several texts are told, and parts at least and at most (powers of two).
+PART, PARTS = 1 << 20, (32, 1024)
 SIMILARITY = 0.8
 #: Lengths, in eighths of the width, at which texts that repeat themselves are compared.
 LENGTHS = (8, 9, 10, 12, 16)
@@ -115,23 +116,151 @@ def compact_windows(docs: list[np.ndarray], hashes: range, width: int) -> Iterat
             yield np.array(group)[doc[ok]], k, np.stack([name, (first - start)[ok], (found - start)[ok], (last - start)[ok]], 1)
 
 
-def _windows(width: int, hashes: range):
-    names = ["value", "id", "before", "centre", "after"]
+def _merged(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of one value that follow each other within the first one's stretch only the first, as (value, first, centre, last, last centre).
+
+    A shingle that stands there again begins its window after the one before and
+    ends with it, so the first window holds the others.
+    """
+    order = np.lexsort((rows[:, 2], rows[:, 0], doc))
+    rows, doc = rows[order], doc[order]
+    begins = np.ones(len(rows), bool)
+    begins[1:] = (rows[1:, 0] != rows[:-1, 0]) | (doc[1:] != doc[:-1]) | (rows[1:, 1] != rows[:-1, 2] + 1)
+    at = np.flatnonzero(begins)
+    upto = rows[np.r_[at[1:], len(rows)] - 1, 2] if len(at) else rows[:, 2]
+    return np.concatenate([rows[at], upto[:, None]], 1), doc[at]
+
+
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in groups that keep their name, so that what is told of a group later finds the same texts."""
+    for batch in batches:
+        for first, end in groups(bodies(batch.column(1))):
+            part = batch.slice(first, end - first)
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes], pa.binary()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([bodies(part.column(1))], pa.list_(pa.binary()))], ["batch", "ids", "texts"])
+
+
+def _coded(docs: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of texts as numbers of 32 + ``bits`` bits, in order: the numbers, the places they have among all shingles, the texts they are of."""
+    whole = np.concatenate(docs) >> np.uint64(32 - bits)
+    text = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    room = np.uint64(32 - bits)
+    if len(whole) < 1 << (32 - bits):
+        both = np.sort(whole << room | np.arange(len(whole), dtype="u8"))
+        place = (both & np.uint64((1 << (32 - bits)) - 1)).astype("i8")
+        return both >> room, place, text[place]
+    place = np.argsort(whole, kind="stable")
+    return whole[place], place, text[place]
+
+
+def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the parts begins among numbers in order, and the last ends."""
+    return np.searchsorted(keys, np.arange((1 << bits) + 1, dtype="u8") << np.uint64(32))
+
+
+def _distinct_shingles(bits: int):
+    """Of each group of texts and part, the distinct shingles (4 bytes each), and which of them several texts of the group have."""
+    names = ["part", "batch", "items", "several"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, _, text = _coded(text_shingles(texts, SHINGLE), bits)
+                if not len(keys):
+                    continue
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                several = text[starts] != text[np.r_[starts[1:], len(keys)] - 1]
+                keys = keys[starts]
+                at = _bounds(keys, bits)
+                parts = np.flatnonzero(at[1:] > at[:-1])
+                low = keys.astype("u4")
+                rows = [(low[at[p] : at[p + 1]].tobytes(), np.packbits(several[at[p] : at[p + 1]]).tobytes()) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype("i4")), pa.array([name] * len(parts), pa.binary()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names)
+
+    return run
+
+
+def _told_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Part by part, from rows in the order of parts: of each group which of its shingles another text has too."""
+    held: list[tuple] = []
+
+    def close() -> pa.RecordBatch:
+        items = [np.frombuffer(x, "u4") for _, _, x, _ in held]
+        several = [x[np.unpackbits(np.frombuffer(m, "u1"), count=len(x)).view(bool)] for x, (*_, m) in zip(items, held, strict=True)]
+        whole = np.sort(np.concatenate(items))
+        shared = np.unique(np.concatenate([whole[1:][whole[1:] == whole[:-1]], *several]))
+        out = []
+        for x in items:
+            at = np.minimum(np.searchsorted(shared, x), len(shared) - 1) if len(shared) else None
+            out.append(np.packbits(shared[at] == x if at is not None else np.zeros(len(x), bool)).tobytes())
+        done = pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.binary()), pa.array([x[0] for x in held], pa.int32()), pa.array(out, pa.binary())], ["batch", "part", "shared"])
+        held.clear()
+        return done
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                yield close()
+            held.append(row)
+    if held:
+        yield close()
+
+
+def _stretches(docs: list[np.ndarray], hits: np.ndarray, again: np.ndarray, width: int, least: float) -> list[tuple[int, int, int]]:
+    """(text, first, end) of what ``_feasible`` gives for each text, for all at once: ``hits`` and ``again`` say which shingles count and which stand in their text again."""
+    sizes = np.array([len(d) for d in docs])
+    ends = np.cumsum(sizes)
+    # whole millionths, and a fall between texts that nothing after it makes up for
+    up, down = int(np.ceil(round((1 - least) * 1e6, 3))), int(np.floor(round(least * 1e6, 3)))
+    slot = np.arange(len(hits)) + np.repeat(np.arange(len(docs)), sizes)
+    gain = np.full(len(hits) + len(docs), -(len(hits) + 1) * up)
+    gain[slot] = np.where(hits, up, np.where(again, 0, -down))
+    total = np.concatenate([[0], np.cumsum(gain)])
+    reach = len(gain) - np.searchsorted(np.maximum.accumulate(total[::-1]), total[slot], side="left")
+    good = np.flatnonzero(reach - slot >= width)
+    if not len(good):
+        return []
+    text = np.searchsorted(ends, good, side="right")
+    start = ends[text] - sizes[text]
+    end = np.minimum(reach[good] - text, ends[text])
+    upto = np.maximum.accumulate(end)  # ends of one text never pass the starts of the next
+    new = np.flatnonzero(np.r_[True, (good[1:] > upto[:-1]) | (text[1:] != text[:-1])])
+    last = np.r_[new[1:] - 1, len(good) - 1]
+    return list(zip(text[new].tolist(), (good[new] - start[new]).tolist(), (upto[last] - start[new]).tolist(), strict=True))
+
+
+def _windows(width: int, least: float, bits: int):
+    """The windows of all hashes in the stretches of texts in which enough shingles are shared."""
+    names = ["value", "id", "before", "centre", "upto", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = bodies(batch.column(1))
-            for first, end in groups(texts):
-                docs = text_shingles(texts[first:end], SHINGLE)
+            for ids, texts, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                docs = text_shingles(texts, SHINGLE)
+                keys, place, text = _coded(docs, bits)
+                new = np.r_[True, keys[1:] != keys[:-1]]
+                at = _bounds(keys[new], bits)
+                shared = np.zeros(int(at[-1]), bool)
+                for row in told:
+                    p = row["part"]
+                    shared[at[p] : at[p + 1]] = np.unpackbits(np.frombuffer(row["shared"], "u1"), count=int(at[p + 1] - at[p])).view(bool)
+                hits, again = np.empty(len(keys), bool), np.zeros(len(keys), bool)
+                hits[place] = shared[np.cumsum(new) - 1]
+                again[place[1:]] = ~new[1:] & (text[1:] == text[:-1])
+                found = _stretches(docs, hits, again, width, least)
+                pieces = [docs[i][s:e] for i, s, e in found]
                 who, rows = [], []
-                for d, k, r in compact_windows(docs, hashes, width):
+                for d, k, r in compact_windows(pieces, range(HASHES), width):
                     r[:, 0] = r[:, 0] * HASHES + k
+                    r, d = _merged(r, d)
                     who.append(d)
                     rows.append(r)
                 if not rows:
                     continue
-                r, at = np.concatenate(rows), np.concatenate(who) + first
-                yield pa.RecordBatch.from_arrays([pa.array(r[:, 0]), batch.column(0).take(pa.array(at)), pa.array((r[:, 2] - r[:, 1]).astype("i4")), pa.array(r[:, 2].astype("i4")), pa.array((r[:, 3] - r[:, 2]).astype("i4"))], names)
+                r, of = np.concatenate(rows), np.concatenate(who)
+                begin = np.array([s for _, s, _ in found])[of]
+                names_ = np.array(ids)[np.array([i for i, _, _ in found])[of]]
+                cols = [r[:, 2] - r[:, 1], r[:, 2] + begin, r[:, 4] - r[:, 2], r[:, 3] - r[:, 2]]
+                yield pa.RecordBatch.from_arrays([pa.array(r[:, 0]), pa.array(names_.astype("i8")), *(pa.array(c.astype("i4")) for c in cols)], names)
 
     return run
 
@@ -526,14 +655,14 @@ def _apart(windows: DataFrame, labels: DataFrame, group: list[str]) -> DataFrame
 
 
 def _marked(windows: DataFrame, near: DataFrame, labels: DataFrame, group: list[str]) -> DataFrame:
-    """The windows of the groups in which something is open: a window whose centre is in no passage, or whose document has another label than most.
+    """The windows of the groups in which something is open: a window whose centres are not all in one run of passages, or whose document has another label than most.
 
     Adds label and open.
     """
     spans = near.select(F.col("p").alias("id"), F.col("p_first").alias("s"), (F.col("p_first") + F.col("p_words") - SHINGLE).alias("e"))
     spans = spans.union(near.select("q", "q_first", F.col("q_first") + F.col("q_words") - SHINGLE)).distinct()
     spans = _islands(spans, ["id"], "s", "e", 0, "i").groupBy("id", "i").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(F.col("id").alias("of"), "s", "e")
-    covered = (F.col("id") == F.col("of")) & F.col("centre").between(F.col("s"), F.col("e"))
+    covered = (F.col("id") == F.col("of")) & (F.col("centre") >= F.col("s")) & (F.col("upto") <= F.col("e"))
     told = windows.join(spans, covered, "left").join(labels, F.col("id") == F.col("node"), "left")
     told = cut(told.select(*windows.columns, F.col("of").isNull().alias("bare"), F.coalesce("component", "id").alias("label")), "told")
     sizes = told.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("n"), F.max("bare").alias("bare"))
@@ -547,14 +676,17 @@ def _agreeing(windows: DataFrame, width: int) -> DataFrame:
 
     The interval join: either centre lies in the other's window, and the windows
     share ``width`` or more within twice the width of the centres, where a
-    passage over a centre has a short one over it.
+    passage over a centre has a short one over it. A window of many centres takes
+    part once for each slot that has some of them.
     """
     reach = 2 * width
-    near = windows.withColumn("first", F.greatest("first", F.col("centre") - reach)).withColumn("last", F.least("last", F.col("centre") + reach))
-    slot = F.floor(F.col("centre") / reach).cast("int")
-    a = near.select("id", slot.alias("slot"), *[F.col(c).alias(f"a_{c}") for c in ("value", "hash", "first", "centre", "last", "open", "label")])
-    b = near.select("id", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"), *[F.col(c).alias(f"b_{c}") for c in ("value", "hash", "first", "centre", "last", "open")])
-    both = a.join(b, ["id", "slot"]).filter("a_hash < b_hash and a_centre between b_first and b_last and b_centre between a_first and a_last")
+    of = lambda c: F.floor(F.col(c) / reach).cast("int")
+    near = windows.withColumn("slot", F.explode(F.sequence(of("centre"), of("upto"))))
+    near = near.withColumn("centre", F.greatest("centre", F.col("slot") * reach)).withColumn("upto", F.least("upto", F.col("slot") * reach + reach - 1))
+    near = near.withColumn("first", F.greatest("first", F.col("centre") - reach)).withColumn("last", F.least("last", F.col("upto") + reach))
+    a = near.select("id", "slot", *[F.col(c).alias(f"a_{c}") for c in ("value", "hash", "first", "centre", "upto", "last", "open", "label")])
+    b = near.select("id", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"), *[F.col(c).alias(f"b_{c}") for c in ("value", "hash", "first", "centre", "upto", "last", "open")])
+    both = a.join(b, ["id", "slot"]).filter("a_hash < b_hash and a_centre <= b_last and a_upto >= b_first and b_centre <= a_last and b_upto >= a_first")
     both = both.select(F.col("a_value").alias("x"), F.col("b_value").alias("y"), "id", F.col("a_centre").alias("centre"), F.greatest("a_first", "b_first").alias("first"), F.least("a_last", "b_last").alias("last"), (F.col("a_open") | F.col("b_open")).alias("open"), F.col("a_label").alias("label"))
     return both.filter(F.col("last") - F.col("first") + 1 >= width)
 
@@ -598,19 +730,42 @@ def _in_blocks(src: DataFrame, open_: DataFrame, width: int, least: float) -> Da
     return _verified(src, ranges, width, least)
 
 
-def _shared_windows(src: DataFrame, reps: DataFrame, width: int, hashes: range) -> DataFrame:
-    """The windows of some hashes whose value more than one document has; of equal texts only those of the representative."""
+def _free(spark: SparkSession, *paths: str) -> None:
+    """Delete tables, and the shuffle files of plans that are gone."""
+    for path in paths:
+        discard(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _shared_windows(src: DataFrame, reps: DataFrame, width: int, least: float) -> DataFrame:
+    """The windows whose value more than one document has: value, id, hash, first, centre, upto (the last centre), last; of equal texts only those of the representative.
+
+    A passage at ``least`` has that share of its distinct shingles in another
+    text, so only stretches that can hold such a range give windows. Shingles are
+    told apart by 37 to 42 bits there, so that more may seem shared than is, never
+    less.
+    """
     spark = src.sparkSession
-    windows = cut(src.mapInArrow(_windows(width, hashes), "value long, id long, before int, centre int, after int"), "all-windows")
-    made = windows._cut_path
+    wanted = int(reps.agg(F.sum("n")).first()[0] or 0) // PART
+    bits = min(max(wanted, PARTS[0]), PARTS[1]).bit_length() - 1
+    batches = cut(src.join(reps.select(F.col("p").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(_batched, "batch binary, ids array<bigint>, texts array<binary>"), "batches")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = batches.select("batch", "texts").mapInArrow(_distinct_shingles(bits), "part int, batch binary, items binary, several binary")
+    told = cut(items.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_told_shared, "batch binary, part int, shared binary"), "shared")
+    del items
+    _free(spark)
+    each = told.groupBy("batch").agg(F.collect_list(F.struct("part", "shared")).alias("told"))
+    windows = batches.join(each, "batch").select("ids", "texts", "told").mapInArrow(_windows(width, least, bits), "value long, id long, before int, centre int, upto int, after int")
+    windows = cut(windows, "all-windows")
+    _free(spark, batches._cut_path, told._cut_path)
     # distances are few different numbers, which the table holds in a byte or so
     twice = windows.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("value")
-    out = cut(windows.join(twice, "value").join(reps.select(F.col("p").alias("id")).distinct(), "id", "left_semi"), "shared-windows")
-    discard(spark, made)
-    del windows, twice
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of plans that are gone
-    return out
+    at = F.col("centre")
+    kept = windows.join(twice, "value").select("value", "id", F.pmod("value", F.lit(HASHES)).cast("int").alias("hash"), (at - F.col("before")).alias("first"), "centre", (at + F.col("upto")).alias("upto"), (at + F.col("after")).alias("last"))
+    kept = cut(kept, "windows")
+    _free(spark, windows._cut_path)
+    return kept
 
 
 def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILARITY, texts_apart: bool = False) -> DataFrame:
@@ -658,15 +813,10 @@ def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mine = src.join(again.withColumnRenamed("n", "_n"), "id")
         mine = mine.filter((F.xxhash64("text") == F.col("h1")) & (F.xxhash64(F.lit(1), "text") == F.col("h2"))).select("id", "text").dropDuplicates(["id"])
         src = cut(src.join(again, "id", "left_anti").union(mine), "texts")
-    reps = digests.groupBy("h1", "h2").agg(F.min("id").alias("p"))
-    copies = digests.join(reps, ["h1", "h2"]).filter((F.col("id") > F.col("p")) & (F.col("n") >= words)).select("p", F.col("id").alias("q"), "n")
-    shared = [_shared_windows(src, reps, width, range(k, min(k + AT_ONCE, HASHES))) for k in range(0, HASHES, AT_ONCE)]
-    distinct = reduce(DataFrame.union, shared)
-    twice = distinct.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("value")
-    kept = distinct.join(twice, "value").select("value", "id", F.pmod("value", F.lit(HASHES)).cast("int").alias("hash"), (F.col("centre") - F.col("before")).alias("first"), "centre", (F.col("centre") + F.col("after")).alias("last"))
-    kept = cut(kept, "windows")
-    for part in shared:
-        discard(spark, part._cut_path)
+    reps = digests.groupBy("h1", "h2").agg(F.min("id").alias("p"), F.min("n").alias("n"))
+    copies = digests.join(reps.drop("n"), ["h1", "h2"]).filter((F.col("id") > F.col("p")) & (F.col("n") >= words)).select("p", F.col("id").alias("q"), "n")
+    kept = _shared_windows(src, reps.filter(F.col("n") >= words), width, least)
+    src = cut(src.join(kept.select("id").distinct(), "id", "left_semi"), "texts")
     here = F.struct("id", "centre", "first", "last")
     apart = F.col("a.id") != F.col("b.id")
     tops = kept.groupBy("value").agg(F.min_by(here, F.struct(F.xxhash64("id"), "centre")).alias("a"))
