@@ -289,14 +289,14 @@ def _cut_out(what):
 
 
 def _sketch(width: int):
-    """A digest of a range (16 bytes), the least distinct shingles of a passage in it (2), and two bytes of each distinct shingle, in order."""
+    """A digest of a range (16 bytes), the least distinct shingles of a passage in it (2), and two bytes of each shingle, in their order."""
 
     def run(items: np.ndarray) -> bytes:
         low = 1
         if len(items) >= width:
             codes = np.unique(items, return_inverse=True)[1]
             low = min(int(_sets_of(codes, np.ones(len(codes), "u8"), 0, len(codes), width)[1].min()), 65_535)
-        return hashlib.blake2b(items.tobytes(), digest_size=16).digest() + np.uint16(low).tobytes() + np.unique((items >> np.uint64(48)).astype("u2")).tobytes()
+        return hashlib.blake2b(items.tobytes(), digest_size=16).digest() + np.uint16(low).tobytes() + (items >> np.uint64(48)).astype("u2").tobytes()
 
     return run
 
@@ -565,24 +565,54 @@ def _least_distinct(items: np.ndarray, width: int) -> int:
     return max(1, min(width, len(items)) - (len(items) - len(np.unique(items))))
 
 
-def _likely(least: float):
+def _crowded(codes: np.ndarray, held: np.ndarray, width: int, shares: tuple[float, ...]) -> list[np.ndarray]:
+    """For each share, which of the others (rows of ``held``, by code) hold it of some ``width`` codes or more; a code that stands there again and is not held costs nothing."""
+    if len(codes) < width:
+        return [np.zeros(len(held), bool) for _ in shares]
+    has = held[:, codes]
+    hits, misses = np.zeros((2, len(held), len(codes) + 1), "f4")
+    np.cumsum(has, axis=1, out=hits[:, 1:])
+    np.cumsum(~has & _first_places(codes), axis=1, out=misses[:, 1:])
+    out = []
+    for share in shares:
+        total = hits * np.float32(1 - share) - misses * np.float32(share)
+        out.append((total[:, width:] >= np.minimum.accumulate(total[:, :-width], axis=1) - 1e-2).any(1))
+    return out
+
+
+def _likely(width: int, least: float):
     """Of a block's ranges (digest, label, open, sketch), the pairs of an open one and one of another label that may share a passage.
 
-    Two bytes of a shingle stand for it, so that more may seem shared than is, never less.
+    Two bytes of a shingle stand for it, so that more may seem shared than is,
+    never less. Either range must have ``width`` places or more of which the share
+    ``least`` is shared, and one of them as much as two equally long passages have:
+    the shorter passage of a pair has that share.
     """
     c = least / (1 + least)
+    shares = (least, 2 * c)
 
     def run(table: pa.Table) -> pa.Table:
         label, is_open = table.column("label").to_numpy(), np.array(table.column("open").to_pylist(), bool)
         sketches = table.column("sketch").to_pylist()
         lows = np.array([int.from_bytes(x[16:18], "little") for x in sketches])
-        single = [np.frombuffer(x, "u2", offset=18) for x in sketches]
-        held = np.zeros((len(single), 1 << 16), bool)
-        held[np.repeat(np.arange(len(single)), [len(x) for x in single]), np.concatenate(single)] = True
-        held = held[:, held.sum(0) > 1].astype("f4")
+        named, codes = np.unique(np.concatenate([np.frombuffer(x, "u2", offset=18) for x in sketches]), return_inverse=True)
+        sizes = [len(x) // 2 - 9 for x in sketches]
+        held = np.zeros((len(sketches), len(named)), bool)
+        held[np.repeat(np.arange(len(sketches)), sizes), codes] = True
+        of = np.split(codes, np.cumsum(sizes)[:-1])
         mine = np.flatnonzero(is_open)
-        shared = held[mine] @ held.T
-        i, j = np.nonzero((shared >= c * (lows[mine][:, None] + lows[None]) - 1e-3) & (label[mine][:, None] != label[None]))
+        often = held[:, held.sum(0) > 1].astype("f4")
+        shared = often[mine] @ often.T
+        hit = (shared >= c * (lows[mine][:, None] + lows[None]) - 1e-3) & (label[mine][:, None] != label[None])
+        close = np.zeros(hit.shape, bool)
+        for k in np.flatnonzero(hit.any(1)):
+            others = np.flatnonzero(hit[k])
+            hit[k, others], close[k, others] = _crowded(of[mine[k]], held[others], width, shares)
+        for k in np.flatnonzero(hit.any(0)):
+            others = np.flatnonzero(hit[:, k])
+            loose, tight = _crowded(of[k], held[mine[others]], width, shares)
+            hit[others, k] = loose & (tight | close[others, k])
+        i, j = np.nonzero(hit)
         digests = table.column("digest")
         return pa.table({"p": digests.take(pa.array(mine[i])), "q": digests.take(pa.array(j))})
 
@@ -708,7 +738,9 @@ def _in_blocks(src: DataFrame, open_: DataFrame, width: int, least: float) -> Da
     equal = equal.select(F.col("rep").alias("a"), F.struct("id", "centre", "first", "last", "label").alias("b"))
 
     rows = open_.join(told.select("id", "centre", "digest"), ["id", "centre"]).groupBy("x", "y", "digest").agg(F.max("open").alias("open"))
-    sizes = rows.groupBy("x", "y").agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.count(F.lit(1)).alias("size")).filter("size > 1 and n_open > 0")
+    sizes = rows.groupBy("x", "y").agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), "digest", "open")).alias(f"h{k}") for k in (1, 2)])
+    # groups of the same windows are one
+    sizes = sizes.filter("size > 1 and n_open > 0").groupBy("size", "n_open", "h1", "h2").agg(F.min(F.struct("x", "y")).alias("one")).select("one.x", "one.y", "n_open", "size")
     placed = cut(rows.join(sizes, ["x", "y"]), "placed")
     draw = F.xxhash64("digest")
     every = lambda n, size: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / size) - 1).cast("int")))
@@ -717,7 +749,7 @@ def _in_blocks(src: DataFrame, open_: DataFrame, width: int, least: float) -> Da
     right = placed.select("x", "y", "digest", F.lit(False).alias("open"), every("n_open", OPEN_BLOCK).alias("i"), nth("size", BLOCK).alias("j"))
     blocks = left.union(right).groupBy("x", "y", "i", "j", "digest").agg(F.max("open").alias("open"))
     blocks = blocks.join(texts.select("digest", "rep.label", "sketch"), "digest").select("x", "y", "i", "j", "digest", "label", "open", "sketch")
-    pairs = blocks.groupBy("x", "y", "i", "j").applyInArrow(_likely(least), "p binary, q binary")
+    pairs = blocks.groupBy("x", "y", "i", "j").applyInArrow(_likely(width, least), "p binary, q binary")
     pairs = cut(pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct(), "likely")
     ends = lambda side, name: texts.select(F.col("digest").alias(side), F.col("rep").alias(name))
     both = pairs.join(ends("p", "a"), "p").join(ends("q", "b"), "q").select("a", "b").union(equal).filter("a.id <> b.id")
