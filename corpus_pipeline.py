@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     no near-duplicate; rows without words stay; an empty table stays empty.
     """
     with scratch(spark) as keep:
-        return keep(one_of_each(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS))
+        return one_of_each(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, keep=keep)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,7 +238,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, bands: int = BANDS, rows: int = ROWS, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """The rows of ``df``, of each group of near-duplicates one; columns as before.
 
     The row with the least id stays, null ids last, and of equal ids the one with
@@ -246,6 +246,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     all columns. So a repeated row stays once, and an id under two texts stays
     with each text that is not a near-duplicate. Rows without words stay as they
     are. An empty table gives an empty table.
+
+    The result is read from ``df`` and one table without texts, which ``keep`` writes.
     """
     ship(df.sparkSession)
     src = df.select(F.col(f"`{id_col}`").alias("id"), text_id(f"`{text_col}`").alias("tid"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -254,7 +256,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     each = told.filter("set_key is not null").groupBy("id", "tid", "set_key").agg(F.count(F.lit(1)).alias("n")).join(labels, "set_key")
     best = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid")).alias("best"))
     marks = each.join(best, "component").select("id", "tid", "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("tid") == F.col("best.tid"))).alias("stays"))
-    marks = cut(marks.filter("not stays or n > 1"), "marks")
+    marks = keep(marks.filter("not stays or n > 1"))
     names = [free_name(df, c) for c in ("_id", "_tid")]
     tid = free_name(df, "_text")
     docs = df.withColumn(tid, text_id(f"`{text_col}`"))

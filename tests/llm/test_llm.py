@@ -516,6 +516,52 @@ def test_windows_compared_whole(spark):
     assert [(r.p, r.q) for r in got] == [(0, 1)]
 
 
+def test_windows_of_shared_stretches(spark, monkeypatch):
+    """A line that all share gives no windows, and a text that repeats itself few: those written are of the near-duplicates alone."""
+    rng = random.Random(49)
+    line, passage = words(rng, 12, 50_000), words(rng, 60, 50_000).split()
+    texts = [f"{words(rng, 150, 50_000)} {line} {words(rng, 150, 50_000)}" for _ in range(30)]
+    other = passage[:30] + ["changed"] + passage[31:]
+    texts += [f"{words(rng, 200, 50_000)} {' '.join(t)} {words(rng, 200, 50_000)}" for t in (passage, other)]
+    texts += [" ".join(words(random.Random(50), 20, 50_000) for _ in range(60)) + end for end in ("", " end")]
+    written = {}
+    cut = passages.cut
+
+    def told(df, name="t"):
+        written[name] = cut(df, name)
+        return written[name]
+
+    monkeypatch.setattr(passages, "cut", told)
+    monkeypatch.setattr(passages, "discard", lambda *_: None)
+    pairs = {(r.p, r.q) for r in passages.near_passages(documents(spark, texts)).collect()}
+    rows = written["all-windows"].collect()
+    assert pairs == {(30, 31), (32, 33)} and {r.id for r in rows} == {30, 31, 32, 33}
+    assert max(Counter((r.id, r.value) for r in rows).values()) == 1 and len(rows) <= 100
+
+
+def test_stretches():
+    rng = np.random.default_rng(51)
+    for _ in range(20):
+        docs = [rng.integers(0, rng.integers(5, 3000), rng.integers(1, 400)).astype("u8") for _ in range(30)]
+        hits = [rng.random(len(d)) < rng.choice([0.3, 0.8, 0.95]) for d in docs]
+        again = [~passages._first_places(d.astype("i8")) for d in docs]
+        want = [(i, s, e) for i, (d, h) in enumerate(zip(docs, hits)) for s, e in passages._feasible(d.astype("i8"), h, 0.8, 46)]
+        assert passages._stretches(docs, np.concatenate(hits), np.concatenate(again), 46, 0.8) == want
+
+
+def test_ranges_that_share_scattered_words():
+    """Ranges of 90 shingles that share 60, in one stretch or in runs too short for any passage: only the first are compared in full."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(53)
+    base, new = rng.integers(1, 2**63, 90).astype("u8"), rng.integers(1, 2**63, 90).astype("u8")
+    sketch = passages._sketch(46)
+    for other, found in ((np.r_[base[:60], new[60:]], 1), (np.where(np.arange(90) % 6 < 4, base, new), 0)):
+        table = pa.table({"digest": [b"a", b"b"], "label": [1, 2], "open": [True, False], "sketch": [sketch(base), sketch(other)]})
+        assert passages._likely(46, 0.8)(table).num_rows == found
+        assert bool(list(passages.common_passages(base, other, 46, 0.8))) == bool(found)
+
+
 def test_repeating_shingles():
     rng = np.random.default_rng(47)
     base = rng.integers(1, 2**60, 70).astype("u8")
@@ -654,6 +700,20 @@ def test_pipeline_near_dedup_at_80(spark, tmp_path):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_pipeline_near_dedup_leaves_no_texts(spark, tmp_path):
+    """What the stage leaves in the shared folder while later ones run has no column of texts."""
+    from pathlib import Path
+
+    rng = random.Random(55)
+    base = words(rng, 80, 3000)
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    got = corpus_pipeline.near_dedup(spark, documents(spark, [base, base + " more", words(rng, 80, 3000), None]), str(tmp_path))
+    left = [p for p in folder.iterdir() if p not in before and p.is_dir()]
+    assert left and not any("text" in spark.read.parquet(str(p)).columns for p in left)
+    assert {r.doc_id for r in got.collect()} == {0, 2, 3}
+
+
 def test_pipeline_repeated_rows(spark, tmp_path):
     """Equal rows leave one; an id under two texts keeps the one that is no copy."""
     rng = random.Random(53)
