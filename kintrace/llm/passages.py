@@ -39,6 +39,8 @@ LENGTHS = (8, 9, 10, 12, 16)
 OPEN_BLOCK, BLOCK = 128, 512
 #: Shingles hashed at once; ranges of one document that are cut out of its text together.
 CHUNK, RANGES = 100_000, 2_000
+#: Pairs without a passage that a worker remembers, so as not to compare them in another block.
+FAILED = 200_000
 #: Bytes of cut-out ranges that a worker holds.
 FLUSH = 4 << 20
 
@@ -289,14 +291,14 @@ def _cut_out(what):
 
 
 def _sketch(width: int):
-    """A digest of a range (16 bytes), the least distinct shingles of a passage in it (2), and two bytes of each shingle, in their order."""
+    """A digest of a range (16 bytes), the least distinct shingles of a passage in it (2), and four bytes of each shingle, in their order."""
 
     def run(items: np.ndarray) -> bytes:
         low = 1
         if len(items) >= width:
             codes = np.unique(items, return_inverse=True)[1]
             low = min(int(_sets_of(codes, np.ones(len(codes), "u8"), 0, len(codes), width)[1].min()), 65_535)
-        return hashlib.blake2b(items.tobytes(), digest_size=16).digest() + np.uint16(low).tobytes() + (items >> np.uint64(48)).astype("u2").tobytes()
+        return hashlib.blake2b(items.tobytes(), digest_size=16).digest() + np.uint16(low).tobytes() + (items >> np.uint64(32)).astype("u4").tobytes()
 
     return run
 
@@ -400,6 +402,9 @@ def _holds(codes: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarra
 
 def _search(a: np.ndarray, b: np.ndarray, tile: tuple[int, int], seen: set[int], width: int, least: float) -> tuple[int, int, int, int] | None:
     """A range (first, end) in a tile of a, and one of b, at ``least`` or more, over ranges of ``LENGTHS``; sets of the tile that are in ``seen`` are passed over."""
+    theirs = _feasible(b, _in(b, a[tile[0] : tile[1]]), least, width)
+    if not theirs:
+        return None
     names = mix64(np.arange(1, int(max(a.max(), b.max())) + 2, dtype="u8"))
     lengths = sorted({-(-width * k // 8) for k in LENGTHS})
     mine = _candidates(a, names, [tile], lengths)
@@ -407,7 +412,7 @@ def _search(a: np.ndarray, b: np.ndarray, tile: tuple[int, int], seen: set[int],
     seen.update(mine[:, 3].tolist())
     if not len(mine):
         return None
-    other = _candidates(b, names, _feasible(b, _in(b, a[tile[0] : tile[1]]), least, width), lengths)
+    other = _candidates(b, names, theirs, lengths)
     if not len(other):
         return None
     wanted = np.intersect1d(a[tile[0] : tile[1]], b)
@@ -495,9 +500,11 @@ def common_passages(a: np.ndarray, b: np.ndarray, width: int, least: float) -> I
     place = np.minimum(np.searchsorted(ranked, a), len(b) - 1)
     i = np.flatnonzero(ranked[place] == a)
     j = order[place[i]]
-    if len(i) * (1 + least) < least * 2 * _least_distinct(a, width):
+    mine = np.sort(a)
+    repeats = int((mine[1:] == mine[:-1]).sum())
+    if len(i) * (1 + least) < least * 2 * max(1, min(width, len(a)) - repeats):  # no range of the width has fewer distinct values
         return
-    if (np.diff(j) > 0).all() and (ranked[1:] != ranked[:-1]).all() and len(np.unique(a)) == len(a):
+    if not repeats and (j[1:] > j[:-1]).all() and (ranked[1:] != ranked[:-1]).all():
         todo = [(0, len(i), 0, len(a), 0, len(b))]
         while todo:
             f, e, lo, hi, low, high = todo.pop()
@@ -505,7 +512,8 @@ def common_passages(a: np.ndarray, b: np.ndarray, width: int, least: float) -> I
             if got is None:
                 continue
             x, y, u, v = got[0] + lo, got[1] + lo, got[2] + low, got[3] + low
-            yield x, y, u, v, _jaccard_sorted(a[x:y], b[u:v])
+            shared = int(min(np.searchsorted(i, y), np.searchsorted(j, v)) - max(np.searchsorted(i, x), np.searchsorted(j, u)))
+            yield x, y, u, v, shared / (y - x + v - u - shared)
             todo.append((f, f + int(np.searchsorted(i[f:e], x)), lo, x, low, high))
             todo.append((f + int(np.searchsorted(i[f:e], y)), e, y, hi, low, high))
         return
@@ -540,11 +548,6 @@ def common_passages(a: np.ndarray, b: np.ndarray, width: int, least: float) -> I
                     done = got[1]
 
 
-def _jaccard_sorted(a: np.ndarray, b: np.ndarray) -> float:
-    shared = len(np.intersect1d(a, b))
-    return shared / (len(np.unique(a)) + len(np.unique(b)) - shared)
-
-
 def _verify(width: int, least: float):
     names = ["p", "p_first", "p_words", "q", "q_first", "q_words", "similarity"]
 
@@ -560,11 +563,6 @@ def _verify(width: int, least: float):
     return run
 
 
-def _least_distinct(items: np.ndarray, width: int) -> int:
-    """No range of ``width`` has fewer distinct values than this."""
-    return max(1, min(width, len(items)) - (len(items) - len(np.unique(items))))
-
-
 def _crowded(codes: np.ndarray, held: np.ndarray, width: int, shares: tuple[float, ...]) -> list[np.ndarray]:
     """For each share, which of the others (rows of ``held``, by code) hold it of some ``width`` codes or more; a code that stands there again and is not held costs nothing."""
     if len(codes) < width:
@@ -580,23 +578,46 @@ def _crowded(codes: np.ndarray, held: np.ndarray, width: int, shares: tuple[floa
     return out
 
 
-def _likely(width: int, least: float):
-    """Of a block's ranges (digest, label, open, sketch), the pairs of an open one and one of another label that may share a passage.
+class _Ties:
+    """Which labels are tied to each other."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
-    Two bytes of a shingle stand for it, so that more may seem shared than is,
-    never less. Either range must have ``width`` places or more of which the share
-    ``least`` is shared, and one of them as much as two equally long passages have:
-    the shorter passage of a pair has that share.
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def tie(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def _likely(width: int, least: float):
+    """Of a block's ranges (digest, label, open, sketch), pairs of an open one and one of another label that share a passage: a forest over the labels.
+
+    First it is told which pairs may share one. There two bytes of a shingle stand
+    for it, so that more may seem shared than is, never less. Either range must
+    have ``width`` places or more of which the share ``least`` is shared, and one
+    of them as much as two equally long passages have: the shorter passage of a
+    pair has that share. Then those whose labels no earlier pair ties are compared
+    by four bytes of a shingle, those that share most first, so that no more pairs
+    come out than the block has labels. Two different shingles of 100 and 100 are
+    one there with probability 2e-6.
     """
     c = least / (1 + least)
     shares = (least, 2 * c)
+    failed: set[tuple[bytes, bytes]] = set()  # pairs stand in several blocks
 
     def run(table: pa.Table) -> pa.Table:
         label, is_open = table.column("label").to_numpy(), np.array(table.column("open").to_pylist(), bool)
         sketches = table.column("sketch").to_pylist()
         lows = np.array([int.from_bytes(x[16:18], "little") for x in sketches])
-        named, codes = np.unique(np.concatenate([np.frombuffer(x, "u2", offset=18) for x in sketches]), return_inverse=True)
-        sizes = [len(x) // 2 - 9 for x in sketches]
+        whole = [np.frombuffer(x, "u4", offset=18) for x in sketches]
+        named, codes = np.unique((np.concatenate(whole) >> np.uint32(16)).astype("u2"), return_inverse=True)
+        sizes = [len(x) for x in whole]
         held = np.zeros((len(sketches), len(named)), bool)
         held[np.repeat(np.arange(len(sketches)), sizes), codes] = True
         of = np.split(codes, np.cumsum(sizes)[:-1])
@@ -613,8 +634,21 @@ def _likely(width: int, least: float):
             loose, tight = _crowded(of[k], held[mine[others]], width, shares)
             hit[others, k] = loose & (tight | close[others, k])
         i, j = np.nonzero(hit)
-        digests = table.column("digest")
-        return pa.table({"p": digests.take(pa.array(mine[i])), "q": digests.take(pa.array(j))})
+        order = np.argsort(-shared[i, j], kind="stable")
+        digests, ties = table.column("digest"), _Ties()
+        names, out = [x[:16] for x in sketches], []
+        for p, q in zip(mine[i[order]].tolist(), j[order].tolist(), strict=True):
+            pair = min(names[p], names[q]), max(names[p], names[q])
+            if ties.root(label[p]) == ties.root(label[q]) or pair in failed:
+                continue
+            if next(common_passages(whole[p], whole[q], width, least), None) is None:
+                if len(failed) < FAILED:
+                    failed.add(pair)
+                continue
+            ties.tie(label[p], label[q])
+            out.append((p, q))
+        p, q = np.array(out, "i8").reshape(-1, 2).T
+        return pa.table({"p": digests.take(pa.array(p)), "q": digests.take(pa.array(q))})
 
     return run
 
@@ -857,7 +891,7 @@ def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pairs = _agreeing(_marked(kept, near, components(near), ["value"]), width)
     pairs = cut(pairs, "agreeing")
-    tops = pairs.groupBy("x", "y").agg(F.min_by(F.struct("id", "centre", "first", "last", "open"), F.struct(F.xxhash64("id", F.lit(1)), "centre")).alias("a"), F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).filter("n > 1 and any")
+    tops = pairs.groupBy("x", "y").agg(F.min_by(F.struct("id", "centre", "first", "last", "open"), F.struct("open", F.xxhash64("id", F.lit(1)), "centre")).alias("a"), F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).filter("n > 1 and any")
     seeds = pairs.select("x", "y", F.struct("id", "centre", "first", "last", "open").alias("b")).join(tops, ["x", "y"]).filter(apart & (F.col("a.open") | F.col("b.open")))
     near = near.union(_verified(src, _ranges(seeds.select("a", "b", F.lit(3).alias("met")), width), width, least))
     groups_ = pairs.join(tops.filter("n > 2").select("x", "y"), ["x", "y"], "left_semi").drop("open", "label")

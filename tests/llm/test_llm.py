@@ -549,6 +549,31 @@ def test_stretches():
         assert passages._stretches(docs, np.concatenate(hits), np.concatenate(again), 46, 0.8) == want
 
 
+def test_block_gives_a_forest():
+    """Near copies of one range under labels of their own, and others that share half of it: a block gives one pair less than there are near copies, not all pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(57)
+    base, sketch = rng.integers(1, 2**63, 90).astype("u8"), passages._sketch(46)
+    ranges = []
+    for i in range(60):
+        near = base.copy()
+        near[rng.integers(0, 90, 3 if i < 40 else 60)] = rng.integers(1, 2**63)
+        ranges.append(near)
+    digests = [sketch(x)[:16] for x in ranges]
+    run = passages._likely(46, 0.8)
+    for labels in (list(range(60)), [i % 40 // 2 for i in range(60)]):
+        table = pa.table({"digest": digests, "label": labels, "open": [i % 3 > 0 for i in range(60)], "sketch": [sketch(x) for x in ranges]})
+        out = [(digests.index(r["p"]), digests.index(r["q"])) for r in run(table).to_pylist()]
+        want = [(i, j) for i in range(60) for j in range(i) if labels[i] != labels[j] and (i % 3 or j % 3) and list(passages.common_passages(ranges[i], ranges[j], 46, 0.8))]
+        roots = passages._Ties()
+        for i, j in out:
+            assert (i, j) in want or (j, i) in want
+            assert roots.root(labels[i]) != roots.root(labels[j])
+            roots.tie(labels[i], labels[j])
+        assert len(want) > 400 > 60 > len(out) and all(roots.root(labels[i]) == roots.root(labels[j]) for i, j in want)
+
+
 def test_ranges_that_share_scattered_words():
     """Ranges of 90 shingles that share 60, in one stretch or in runs too short for any passage: only the first are compared in full."""
     import pyarrow as pa
